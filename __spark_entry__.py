@@ -52,24 +52,31 @@ def _ventana(umbral: int, cliente: str = "FL") -> Ventana:
     return Ventana(INICIO, FIN, cliente, umbral=umbral)
 
 
+# Reports of valid groups as the pages read them: stored once, then analysed.
+
+
 def _por_tienda(ctx: Contexto, u: int) -> DataFrame:
-    return reportes.ventas_por_tienda(ctx, _ventana(u), solo_validas=True)
+    return ctx.resultado(reportes.ventas_por_tienda, _ventana(u), solo_validas=True)
 
 
 def _por_color(ctx: Contexto, u: int) -> DataFrame:
-    return reportes.ventas_por_color(ctx, _ventana(u).ultima_semana_de_stock(), solo_validas=True)
+    return ctx.resultado(reportes.ventas_por_color, _ventana(u).ultima_semana_de_stock(), solo_validas=True)
 
 
 def _por_talla(ctx: Contexto, u: int) -> DataFrame:
-    return reportes.ventas_por_talla(ctx, _ventana(u).ultima_semana_de_stock(), solo_validas=True)
+    return ctx.resultado(reportes.ventas_por_talla, _ventana(u).ultima_semana_de_stock(), solo_validas=True)
 
 
 def _detalle(ctx: Contexto, u: int, **opciones) -> DataFrame:
     return reportes.ventas_stock_detalle(ctx, _ventana(u), **opciones)
 
 
-def _sem_ano(ctx: Contexto, u: int, **opciones) -> DataFrame:
-    return reportes.ventas_sem_ano(ctx, VentanaAnual(umbral=u, as_of=HOY), **opciones)
+def _anual(u: int) -> VentanaAnual:
+    return VentanaAnual(umbral=u, as_of=HOY)
+
+
+def _sem_ano(ctx: Contexto, u: int) -> DataFrame:
+    return ctx.resultado(reportes.ventas_sem_ano, _anual(u), solo_validas=True)
 
 
 def _resumen(ctx: Contexto, u: int) -> DataFrame:
@@ -149,7 +156,7 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "ventas_por_talla": lambda c, u: reportes.ventas_por_talla(c, _ventana(u).ultima_semana_de_stock()),
     "ventas_stock_detalle": _detalle,
     "ventas_stock_detalle_rp": lambda c, u: reportes.ventas_stock_detalle(c, _rp(u)),
-    "ventas_sem_ano": _sem_ano,
+    "ventas_sem_ano": lambda c, u: reportes.ventas_sem_ano(c, _anual(u)),
     "ventas_stock_8sem": lambda c, u: reportes.ventas_stock_8sem(c, VentanaReciente(umbral=u, as_of=HOY)),
     "semanas_disponibles": lambda c, u: catalogos.semanas_disponibles(c.fuente),
     "clientes": lambda c, u: catalogos.clientes(c.fuente),
@@ -197,12 +204,12 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
         _por_talla(c, u), ["COLOR1-001", "COLOR2-008", "COLOR0-012"]
     ),
     # years
-    "pivote_semana_ano": lambda c, u: anual.pivote_semana_ano(_sem_ano(c, u, solo_validas=True)),
+    "pivote_semana_ano": lambda c, u: anual.pivote_semana_ano(_sem_ano(c, u)),
     "crecimiento_anual": lambda c, u: anual.crecimiento_anual(
-        anual.pivote_semana_ano(_sem_ano(c, u, solo_validas=True))
+        anual.pivote_semana_ano(_sem_ano(c, u))
     ),
     "filtrar_anual": lambda c, u: anual.filtrar_anual(
-        _sem_ano(c, u, solo_validas=True), marca="M1", programa="basico"
+        _sem_ano(c, u), marca="M4", programa="basico"
     ),
     # sink
     "exportar_detalle": _exportar_detalle,

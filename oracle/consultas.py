@@ -401,7 +401,7 @@ def consultas() -> dict[str, str]:
         WHERE a.ano = (SELECT max(ano) FROM pivote x WHERE x.n_sem = a.n_sem)
           AND b.ano = (SELECT max(ano) FROM pivote x WHERE x.n_sem = a.n_sem AND x.ano < a.ano)""",
     )
-    q["filtrar_anual"] = consulta(*_ANO, R_ANO, final="SELECT * FROM r WHERE marca = 'M1' AND tipo_programa = 'basico'")
+    q["filtrar_anual"] = consulta(*_ANO, R_ANO, final="SELECT * FROM r WHERE marca = 'M4' AND tipo_programa = 'basico'")
 
     # --- sink
     q["exportar_detalle"] = consulta(

@@ -20,12 +20,9 @@ def lunes(fecha: Column) -> Column:
     return F.trunc(fecha, "week")
 
 
-def en_rangos(fecha: Column, rangos: Iterable[Rango]) -> Column:
-    """Inclusive date ranges joined by OR."""
-    condicion = F.lit(False)
-    for desde, hasta in rangos:
-        condicion = condicion | fecha.between(F.lit(desde), F.lit(hasta))
-    return condicion
+def en_rangos(fecha: str, rangos: Iterable[Rango]) -> str:
+    """SQL condition: ``fecha`` inside any of the inclusive date ranges."""
+    return " or ".join(f"{fecha} between date'{desde}' and date'{hasta}'" for desde, hasta in rangos)
 
 
 def corte_semanal(fecha: Column) -> Column:

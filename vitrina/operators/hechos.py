@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expresiones import lunes
@@ -13,29 +13,25 @@ GRANO = ("num_local", "ean", "fecha")
 MEDIDAS = ("cant_venta", "cant_stock", "importe", "n_venta", "n_stock")
 
 
-def _movimiento(df: DataFrame, **medidas: Column) -> DataFrame:
-    return df.select(*GRANO, *(medidas[m].alias(m) for m in MEDIDAS))
-
-
 def movimientos_venta(ventas: DataFrame) -> DataFrame:
-    return _movimiento(
-        ventas,
-        cant_venta=F.col("cant"),
-        cant_stock=F.lit(0),
-        importe=F.col("cant") * F.col("pvp_unit"),
-        n_venta=F.lit(1),
-        n_stock=F.lit(0),
+    return ventas.selectExpr(
+        *GRANO,
+        "cant as cant_venta",
+        "0 as cant_stock",
+        "cant * pvp_unit as importe",
+        "1 as n_venta",
+        "0 as n_stock",
     )
 
 
 def movimientos_stock(stock: DataFrame) -> DataFrame:
-    return _movimiento(
-        stock,
-        cant_venta=F.lit(0),
-        cant_stock=F.col("cant"),
-        importe=F.lit(0).cast("decimal(23,2)"),
-        n_venta=F.lit(0),
-        n_stock=F.lit(1),
+    return stock.selectExpr(
+        *GRANO,
+        "0 as cant_venta",
+        "cant as cant_stock",
+        "cast(0 as decimal(23,2)) as importe",
+        "0 as n_venta",
+        "1 as n_stock",
     )
 
 

@@ -4,7 +4,7 @@ scans prune statically instead of joining with a parameter table."""
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from datetime import date, timedelta
 from typing import Any
 
@@ -91,7 +91,7 @@ class VentanaAnual(_DesdeDict):
     semanas_stock: int = SEMANAS_DEFECTO
     semanas_venta: int = SEMANAS_DEFECTO
     umbral: int = UMBRAL_DEFECTO
-    as_of: date | None = None
+    as_of: date = field(default_factory=date.today)
 
     ALIAS = {"ini_cliente": "cliente", "stock_threshold": "umbral"}
 
@@ -101,7 +101,7 @@ class VentanaAnual(_DesdeDict):
 
     @property
     def corte(self) -> date:
-        return sabado_de_corte(self.as_of or date.today())
+        return sabado_de_corte(self.as_of)
 
     def rangos(self, semanas: int) -> list[Rango]:
         atras = timedelta(weeks=semanas)
@@ -115,13 +115,13 @@ class VentanaReciente(_DesdeDict):
 
     cliente: str = CLIENTE_DEFECTO
     umbral: int = UMBRAL_DEFECTO
-    as_of: date | None = None
+    as_of: date = field(default_factory=date.today)
 
     ALIAS = {"ini_cliente": "cliente", "stock_threshold": "umbral"}
 
     @property
     def lunes(self) -> date:
-        return lunes_de(self.as_of or date.today())
+        return lunes_de(self.as_of)
 
     @property
     def rango(self) -> Rango:

@@ -1,11 +1,16 @@
-"""What the reports of one source share: its dimensions, enriched once,
-written to the shared folder and measured."""
+"""What the reports of one source share: dimensions, groups and results,
+written once to the shared folder and measured on the way."""
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +19,9 @@ from ..operators.articulos import con_color, con_programa, marca_efectiva
 from ..sources.almacen import LIMITE_DIFUSION, Almacen, Medida
 from ..sources.tablas import Fuente
 
-VIGENCIA = 1800  # seconds a written dimension is reused
+T = TypeVar("T")
+
+VIGENCIA = 1800  # seconds a written table is reused
 
 COLUMNAS_ARTICULO = (
     "ean",
@@ -32,7 +39,7 @@ COLUMNAS_COLOR = ("codigo", "color", "color_hexa")
 
 
 class Contexto:
-    """A source plus its dimension tables.
+    """A source plus the tables derived from it.
 
     ``limite_difusion`` is the measured size in bytes up to which a dimension
     is broadcast. Beyond it the reports first consolidate the facts and then
@@ -50,7 +57,9 @@ class Contexto:
         self.spark = fuente.spark
         self.almacen = Almacen(self.spark, limite_difusion)
         self._vigencia = vigencia
-        self._guardadas: dict[Hashable, tuple[float, Medida | int]] = {}
+        self._guardadas: dict[tuple, tuple[float, Medida]] = {}
+        self._cerrojos: dict[tuple, threading.Lock] = {}
+        self._cerrojo = threading.Lock()
 
     # --- dimensions ---------------------------------------------------------
 
@@ -58,11 +67,11 @@ class Contexto:
         """Catalogue rows with brand, programme and fit as this client sees
         them; with ``color`` also the colour table's columns."""
         if color:
-            return self._una_vez(
+            return self.una_vez(
                 ("articulos_color", cliente),
                 lambda: con_color(self.articulos(cliente).df, self.fuente.tabla("cod_color")),
             )
-        return self._una_vez(("articulos", cliente), lambda: self._articulos(cliente))
+        return self.una_vez(("articulos", cliente), lambda: self._articulos(cliente))
 
     def _articulos(self, cliente: str) -> DataFrame:
         tabla = self.fuente.tabla
@@ -70,7 +79,7 @@ class Contexto:
         return con_programa(con_marca, tabla("monitoreo")).select(*COLUMNAS_ARTICULO)
 
     def tiendas(self, cliente: str) -> Medida:
-        return self._una_vez(
+        return self.una_vez(
             ("tiendas", cliente),
             lambda: self.fuente.tabla("tiendas")
             .where(F.col("ini_cliente") == cliente)
@@ -79,7 +88,7 @@ class Contexto:
 
     def semanas(self) -> Medida:
         """Calendar keyed by Monday, with both week labels."""
-        return self._una_vez(
+        return self.una_vez(
             ("semanas",),
             lambda: self.fuente.tabla("semanas").select(
                 F.col("dia_inicio").alias("lunes"),
@@ -93,34 +102,50 @@ class Contexto:
 
     def sku_madre(self) -> Medida:
         """Retailer catalogue keyed by the fact's ``ean``."""
-        return self._una_vez(
+        return self.una_vez(
             ("sku_madre",),
             lambda: self.fuente.tabla("ecat_fala").select(F.col("upc").alias("ean"), "sku_madre"),
         )
 
-    def grupos_difundibles(self, cliente: str) -> bool:
-        """Valid groups are distinct (brand, type, fit) of the items: bounded
-        by the item table where that is small, else by their exact number."""
-        articulos = self.articulos(cliente)
-        if articulos.difundible:
-            return True
-        if articulos.bytes_ is None:
-            return False
-        claves = ("marca_calc", "tipo_calc", "fit_calc")
-        distintos = self._recordar(
-            ("n_grupos", cliente), lambda: articulos.df.select(*claves).distinct().count()
-        )
-        return articulos.bytes_ / max(articulos.filas, 1) * distintos <= self.almacen.limite
-
     # --- cache ----------------------------------------------------------------
 
-    def _una_vez(self, clave: tuple, derivar: Callable[[], DataFrame]) -> Medida:
-        return self._recordar(clave, lambda: self.almacen.guardar("-".join(clave), derivar()))
+    def una_vez(self, clave: tuple, derivar: Callable[[], DataFrame], *, medir: bool = True) -> Medida:
+        """The table ``clave`` names, written on first use and again once its
+        time is up. Threads asking for the same table wait for one write."""
+        with self._cerrojo:
+            cerrojo = self._cerrojos.setdefault(clave, threading.Lock())
+        with cerrojo:
+            guardada = self._guardadas.get(clave)
+            if guardada is None or time.monotonic() - guardada[0] > self._vigencia:
+                nombre = "-".join(str(parte) for parte in clave if isinstance(parte, (str, int, date)))
+                tabla = self.almacen.guardar(nombre, derivar(), medir=medir)
+                guardada = self._guardadas[clave] = (time.monotonic(), tabla)
+            return guardada[1]
+
+    def resultado(self, reporte: Callable[..., DataFrame], parametros: Hashable, **opciones) -> DataFrame:
+        """Rows of a report, computed once and kept while they are valid, for
+        the analyses that read them several times."""
+        clave = (reporte.__name__, parametros, tuple(sorted(opciones.items())))
+        return self.una_vez(clave, lambda: reporte(self, parametros, **opciones), medir=False).df
+
+    def resultados(self, *pedidos: tuple[Callable[..., DataFrame], Hashable, dict]) -> list[DataFrame]:
+        """Several reports at once: their jobs overlap, so one's tail does not
+        leave the cluster idle. Each pedido is (report, parameters, options)."""
+        return self._a_la_vez(
+            [lambda r=r, p=p, o=o: self.resultado(r, p, **o) for r, p, o in pedidos]
+        )
+
+    def preparar(self, cliente: str, *, color: bool = False) -> None:
+        """Write the dimensions a report of this client needs, side by side."""
+        self._a_la_vez(
+            [
+                lambda: self.articulos(cliente, color),
+                lambda: self.tiendas(cliente),
+                self.semanas,
+            ]
+        )
 
-    def _recordar(self, clave: Hashable, calcular):
-        ahora = time.monotonic()
-        guardada = self._guardadas.get(clave)
-        if guardada is None or ahora - guardada[0] > self._vigencia:
-            guardada = (ahora, calcular())
-            self._guardadas[clave] = guardada
-        return guardada[1]
+    def _a_la_vez(self, tareas: Sequence[Callable[[], T]]) -> list[T]:
+        con_sesion = inheritable_thread_target(self.spark)
+        with ThreadPoolExecutor(len(tareas)) as hilos:
+            return [f.result() for f in [hilos.submit(con_sesion(t)) for t in tareas]]

@@ -1,7 +1,8 @@
 """Shares of colours and sizes, overall and per store.
 
 Grand totals are scalar subqueries over the already aggregated rows: one
-number per total, no window without partition, no join.
+number per total, no window without partition, no join. The input is read
+more than once, so pass a stored report (``Contexto.resultado``).
 """
 
 from __future__ import annotations
@@ -25,24 +26,31 @@ def _sumar(df: DataFrame, *claves: str) -> DataFrame:
     )
 
 
-def _total(df: DataFrame, medida: Column) -> Column:
-    return df.agg(F.sum(medida)).scalar()
+def _totales(df: DataFrame) -> Column:
+    """Both grand totals as one subquery."""
+    return df.agg(
+        F.struct(F.sum("cant_venta").alias("venta"), F.sum("cant_stock").alias("stock"))
+    ).scalar()
 
 
 def _con_participacion_total(df: DataFrame, si_cero: float | None = None) -> DataFrame:
-    unidades = F.col("cant_venta") + F.col("cant_stock")
-    return df.withColumn("total_unidades", unidades).withColumn(
-        "pct_participacion_total", porcentaje(F.col("total_unidades"), _total(df, unidades), si_cero)
+    total = df.agg(F.sum(F.col("cant_venta") + F.col("cant_stock"))).scalar()
+    return df.withColumn("total_unidades", F.col("cant_venta") + F.col("cant_stock")).withColumn(
+        "pct_participacion_total", porcentaje(F.col("total_unidades"), total, si_cero)
     )
 
 
 def _con_participaciones(df: DataFrame) -> DataFrame:
     """Share of sales and of stock in the rows that are left."""
-    return df.withColumns(
-        {
-            "pct_participacion_venta": porcentaje(F.col("cant_venta"), _total(df, F.col("cant_venta")), 0.0),
-            "pct_participacion_stock": porcentaje(F.col("cant_stock"), _total(df, F.col("cant_stock")), 0.0),
-        }
+    return (
+        df.withColumn("totales", _totales(df))
+        .withColumns(
+            {
+                "pct_participacion_venta": porcentaje(F.col("cant_venta"), F.col("totales.venta"), 0.0),
+                "pct_participacion_stock": porcentaje(F.col("cant_stock"), F.col("totales.stock"), 0.0),
+            }
+        )
+        .drop("totales")
     )
 
 

@@ -8,6 +8,7 @@ stores and the calendar are looked up; one aggregation yields the report.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -51,16 +52,21 @@ def grupos_del_dia(ctx: Contexto, cliente: str, dia: date, umbral: int) -> DataF
     return grupos_validos(stock.join(articulos.lado(atributos), "ean", "left"), umbral)
 
 
+def grupos_medidos(ctx: Contexto, cliente: str, dia: date, umbral: int) -> Medida:
+    """The valid groups as a small table, shared by all reports that measure
+    them on the same day."""
+    return ctx.una_vez(
+        ("grupos", cliente, dia, umbral), lambda: grupos_del_dia(ctx, cliente, dia, umbral)
+    )
+
+
 def articulos_con_grupos(
-    ctx: Contexto, cliente: str, grupos: DataFrame, how: str, color: bool = False
+    ctx: Contexto, cliente: str, grupos: Medida, how: str, color: bool = False
 ) -> Medida:
     """Items with their valid group, joined at catalogue grain. A group is
     unique, so the item table does not grow and its measure stays a bound."""
     articulos = ctx.articulos(cliente, color)
-    if ctx.grupos_difundibles(cliente):
-        grupos = F.broadcast(grupos)
-    con = con_grupos(articulos.df, grupos, how)
-    return Medida(con, articulos.filas, articulos.bytes_, articulos.limite)
+    return replace(articulos, df=con_grupos(articulos.df, grupos.lado(), how))
 
 
 def enriquecer(
@@ -98,7 +104,7 @@ def _base(
     ctx: Contexto,
     cliente: str,
     movs: DataFrame,
-    grupos: DataFrame,
+    grupos: Medida,
     *,
     how: str,
     color: bool = False,
@@ -108,6 +114,7 @@ def _base(
     """Movements with every attribute a report groups by. Facts are
     consolidated first when the report keeps the item or when a dimension is
     too large to broadcast, so that a hot item or store cannot skew the join."""
+    ctx.preparar(cliente, color=color)
     articulos = articulos_con_grupos(ctx, cliente, grupos, how, color)
     if consolidado or not (articulos.difundible and ctx.tiendas(cliente).difundible):
         movs = consolidar(movs)
@@ -119,16 +126,12 @@ def _como(solo_validas: bool) -> str:
     return "inner" if solo_validas else "left"
 
 
-def _suma(medida: str) -> Column:
-    return F.sum(medida)
-
-
 def _unidades() -> list[Column]:
-    return [_suma("cant_venta").alias("cant_venta"), _suma("cant_stock").alias("cant_stock")]
+    return [F.sum("cant_venta").alias("cant_venta"), F.sum("cant_stock").alias("cant_stock")]
 
 
-def _grupos_ventana(ctx: Contexto, p: Ventana) -> DataFrame:
-    return grupos_del_dia(ctx, p.cliente, p.fecha_fin, p.umbral)
+def _grupos_ventana(ctx: Contexto, p: Ventana) -> Medida:
+    return grupos_medidos(ctx, p.cliente, p.fecha_fin, p.umbral)
 
 
 def _movimientos_ventana(ctx: Contexto, p: Ventana) -> DataFrame:
@@ -150,7 +153,7 @@ def agrupar_por_tienda(base: DataFrame) -> DataFrame:
         "semanas",
     ).agg(
         *_unidades(),
-        precio_o_cero(_suma("importe"), _suma("cant_venta")).alias("pvp_prom"),
+        precio_o_cero(F.sum("importe"), F.sum("cant_venta")).alias("pvp_prom"),
     )
 
 
@@ -268,7 +271,7 @@ def ventas_stock_detalle(ctx: Contexto, p: Ventana, *, solo_validas: bool = Fals
         )
         .agg(
             *_unidades(),
-            precio_no_cero(_suma("importe"), _suma("cant_venta")).alias("pvp_prom"),
+            precio_no_cero(F.sum("importe"), F.sum("cant_venta")).alias("pvp_prom"),
         )
     )
 
@@ -300,7 +303,7 @@ def _separar_codigo_color(df: DataFrame) -> DataFrame:
 def ventas_stock_8sem(ctx: Contexto, p: VentanaReciente) -> DataFrame:
     """Store x item x week over the last eight weeks, valid groups only; the
     groups are measured on this week's Monday."""
-    grupos = grupos_del_dia(ctx, p.cliente, p.lunes, p.umbral)
+    grupos = grupos_medidos(ctx, p.cliente, p.lunes, p.umbral)
     movs = por_semana(movimientos(ctx, p.cliente, [p.rango], [p.rango]))
     base = _base(ctx, p.cliente, movs, grupos, how="inner", solo_tiendas=False, consolidado=True)
     return base.groupBy(
@@ -316,7 +319,7 @@ def ventas_stock_8sem(ctx: Contexto, p: VentanaReciente) -> DataFrame:
         F.col("semanas_lunes").alias("semanas"),
     ).agg(
         *_unidades(),
-        precio_medio(_suma("importe"), _suma("cant_venta")).alias("pvp_prom"),
+        precio_medio(F.sum("importe"), F.sum("cant_venta")).alias("pvp_prom"),
     )
 
 
@@ -327,7 +330,7 @@ def ventas_sem_ano(ctx: Contexto, p: VentanaAnual, *, solo_validas: bool = False
     """Daily sales and stock of the last weeks and of the same span one year
     before. Stock of groups below the threshold is left out; their sales stay,
     with a null brand, unless ``solo_validas``."""
-    grupos = grupos_del_dia(ctx, p.cliente, p.corte, p.umbral)
+    grupos = grupos_medidos(ctx, p.cliente, p.corte, p.umbral)
     movs = movimientos(ctx, p.cliente, p.rangos(p.semanas_venta), p.rangos(p.semanas_stock))
     base = _base(ctx, p.cliente, movs, grupos, how=_como(solo_validas))
     if not solo_validas:

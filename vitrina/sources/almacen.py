@@ -10,8 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,23 +65,20 @@ class Almacen:
         base = carpeta_compartida(spark)
         self.raiz = base and f"{base}/vitrina-{uuid.uuid4().hex}"
 
-    def guardar(self, nombre: str, df: DataFrame) -> Medida:
+    def guardar(self, nombre: str, df: DataFrame, *, medir: bool = True) -> Medida:
         """Without a shared folder the table stays lazy and unmeasured."""
         if self.raiz is None:
             return Medida(df, limite=self.limite)
-        ruta = f"{self.raiz}/{nombre}-{uuid.uuid4().hex}"
+        ruta = self.ruta_nueva(nombre)
+        escrito = self.spark.read.schema(df.schema)
+        if not medir:
+            df.write.parquet(ruta)
+            return Medida(escrito.parquet(ruta), limite=self.limite)
         medicion = Observation()
-        (
-            df.observe(
-                medicion,
-                F.count(F.lit(1)).alias("filas"),
-                F.sum(_bytes_de_fila(df)).alias("bytes"),
-            )
-            .write.parquet(ruta)
-        )
+        filas, bytes_ = F.count(F.lit(1)).alias("filas"), F.sum(_bytes_de_fila(df)).alias("bytes")
+        df.observe(medicion, filas, bytes_).write.parquet(ruta)
         medido = medicion.get
-        escrito = self.spark.read.schema(df.schema).parquet(ruta)
-        return Medida(escrito, medido["filas"], medido["bytes"] or 0, self.limite)
+        return Medida(escrito.parquet(ruta), medido["filas"], medido["bytes"] or 0, self.limite)
 
     def ruta_nueva(self, nombre: str) -> str:
         if self.raiz is None:
@@ -93,9 +88,10 @@ class Almacen:
 
 def _bytes_de_fila(df: DataFrame) -> Column:
     """Estimated in-memory bytes of a row: a slot per field plus its text."""
+    fijo = f"{_BYTES_POR_CAMPO * len(df.columns)}L"
     textos = [
-        F.coalesce(F.octet_length(c.name), F.lit(0)).cast("long")
+        f"coalesce(octet_length({c.name}), 0)"
         for c in df.schema
         if isinstance(c.dataType, T.StringType)
     ]
-    return reduce(add, textos, F.lit(_BYTES_POR_CAMPO * len(df.columns)).cast("long"))
+    return F.expr(" + ".join([fijo, *textos]))

@@ -10,12 +10,12 @@ calendar row) so that every outer join has something to lose.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime, time, timedelta
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expresiones import en_rangos, lunes
+from ..functions.expresiones import en_rangos
 from ..params import Rango
 from .tablas import Fuente
 
@@ -23,14 +23,24 @@ INSTANTANEAS = (0, 5, 6)  # stock snapshots: Monday, Saturday, Sunday
 UMBRALES = ((20_000, 30), (200_000, 100))  # (lines fewer than, threshold)
 UMBRAL_GRANDE = 800
 
+_CLAVES = (
+    "if(l_suppkey % 2 = 0, 'FL', 'RP') as ini_cliente",
+    "cast(l_suppkey as string) as num_local",
+    "cast(l_partkey as string) as ean",
+)
+
 
 class FuenteEstrella(Fuente):
     def __init__(self, spark: SparkSession, carpeta: str):
         self.spark = spark
         self.carpeta = carpeta
+        self._leidas: dict[str, DataFrame] = {}
 
     def estrella(self, nombre: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.carpeta}/{nombre}.parquet")
+        """One of the given tables; its footer is read once per source."""
+        if nombre not in self._leidas:
+            self._leidas[nombre] = self.spark.read.parquet(f"{self.carpeta}/{nombre}.parquet")
+        return self._leidas[nombre]
 
     def umbral(self) -> int:
         """Stock threshold that splits the groups at this scale."""
@@ -38,151 +48,118 @@ class FuenteEstrella(Fuente):
         return next((u for tope, u in UMBRALES if lineas < tope), UMBRAL_GRANDE)
 
     def tabla(self, nombre: str) -> DataFrame:
-        derivar: Callable[[FuenteEstrella], DataFrame] = _DERIVADAS[nombre]
-        return derivar(self)
+        return _DERIVADAS[nombre](self)
 
     def ventas(self, cliente: str, rangos: Sequence[Rango]) -> DataFrame:
-        lineas = self._lineas(rangos, margen=0)
-        return _solo(_ventas(lineas), cliente, rangos)
+        ventas = _ventas(self._lineas(rangos, margen=0))
+        return ventas.where(F.col("ini_cliente") == cliente).where(en_rangos("fecha", rangos))
 
     def stock(self, cliente: str, rangos: Sequence[Rango]) -> DataFrame:
         # A snapshot lies in the same Monday-to-Sunday week as its line.
-        lineas = self._lineas(rangos, margen=6)
-        return _solo(_stock(lineas), cliente, rangos)
+        stock = _stock(self._lineas(rangos, margen=6))
+        return stock.where(F.col("ini_cliente") == cliente).where(en_rangos("fecha", rangos))
 
     def _lineas(self, rangos: Sequence[Rango], margen: int) -> DataFrame:
         """Lines whose ship date can reach the ranges: the plain comparison on
         the stored column is what the Parquet scan can skip row groups by."""
-        envio = F.col("l_shipdate")
-        alcance = F.lit(False)
-        for desde, hasta in rangos:
-            inicio = datetime.combine(desde - timedelta(days=margen), time.min)
-            fin = datetime.combine(hasta + timedelta(days=margen + 1), time.min)
-            alcance = alcance | ((envio >= _ntz(inicio)) & (envio < _ntz(fin)))
-        return self.estrella("lineitem").where(alcance)
-
-
-def _ntz(momento: datetime) -> Column:
-    return F.lit(momento.isoformat(sep=" ")).cast("timestamp_ntz")
-
-
-def _solo(df: DataFrame, cliente: str, rangos: Sequence[Rango]) -> DataFrame:
-    return df.where((F.col("ini_cliente") == cliente) & en_rangos(F.col("fecha"), rangos))
-
-
-def _cliente(clave: str) -> Column:
-    return F.when(F.col(clave) % 2 == 0, "FL").otherwise("RP")
-
-
-def _texto(clave: str) -> Column:
-    return F.col(clave).cast("string")
-
-
-def _codigo_color(numero: Column) -> Column:
-    return F.lpad(numero.cast("string"), 3, "0")
+        antes, despues = timedelta(days=margen), timedelta(days=margen + 1)
+        return self.estrella("lineitem").where(
+            " or ".join(
+                f"(l_shipdate >= timestamp_ntz'{desde - antes}' and l_shipdate < timestamp_ntz'{hasta + despues}')"
+                for desde, hasta in rangos
+            )
+        )
 
 
 def _ventas(lineas: DataFrame) -> DataFrame:
-    precio = F.floor("l_extendedprice").cast("bigint") % 20000 + 5000
-    return lineas.where(F.col("l_returnflag") != "R").select(
-        _cliente("l_suppkey").alias("ini_cliente"),
-        _texto("l_suppkey").alias("num_local"),
-        _texto("l_partkey").alias("ean"),
-        F.col("l_shipdate").cast("date").alias("fecha"),
-        F.col("l_quantity").cast("int").alias("cant"),
-        precio.cast("decimal(12,2)").alias("pvp_unit"),
+    return lineas.where("l_returnflag <> 'R'").selectExpr(
+        *_CLAVES,
+        "cast(l_shipdate as date) as fecha",
+        "cast(l_quantity as int) as cant",
+        "cast(cast(floor(l_extendedprice) as bigint) % 20000 + 5000 as decimal(12,2)) as pvp_unit",
     )
 
 
 def _stock(lineas: DataFrame) -> DataFrame:
-    dia = F.explode(F.array(*map(F.lit, INSTANTANEAS)))
-    return lineas.select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate", dia.alias("dia")).select(
-        _cliente("l_suppkey").alias("ini_cliente"),
-        _texto("l_suppkey").alias("num_local"),
-        _texto("l_partkey").alias("ean"),
-        F.date_add(lunes(F.col("l_shipdate").cast("date")), F.col("dia")).alias("fecha"),
-        (F.col("l_quantity").cast("int") * 2 + F.col("dia")).alias("cant"),
+    return lineas.selectExpr(
+        *_CLAVES, "l_quantity", "l_shipdate", f"explode(array{INSTANTANEAS}) as dia"
+    ).selectExpr(
+        "ini_cliente",
+        "num_local",
+        "ean",
+        "date_add(trunc(cast(l_shipdate as date), 'week'), dia) as fecha",
+        "cast(l_quantity as int) * 2 + dia as cant",
     )
 
 
 def _semanas(fuente: FuenteEstrella) -> DataFrame:
-    inicio = lunes(F.col("l_shipdate").cast("date"))
     return (
         fuente.estrella("lineitem")
-        .select(inicio.alias("dia_inicio"))
-        .where(F.col("dia_inicio") < F.lit("2001-10-29").cast("date"))
+        .selectExpr("trunc(cast(l_shipdate as date), 'week') as dia_inicio")
+        .where("dia_inicio < date'2001-10-29'")
         .distinct()
-        .select(
+        .selectExpr(
             "dia_inicio",
-            F.date_add("dia_inicio", 6).alias("dia_fin"),
-            F.weekofyear("dia_inicio").alias("n_sem"),
-            F.year(F.date_add("dia_inicio", 3)).alias("ano"),
+            "date_add(dia_inicio, 6) as dia_fin",
+            "weekofyear(dia_inicio) as n_sem",
+            "year(date_add(dia_inicio, 3)) as ano",
         )
     )
 
 
 def _tiendas(fuente: FuenteEstrella) -> DataFrame:
-    nacion = fuente.estrella("nation").select("n_nationkey", "n_name")
-    prefijo = F.concat(F.lpad(_texto("s_nationkey"), 3, "0"), F.lit("- "))
+    nacion = fuente.estrella("nation").selectExpr("n_nationkey as s_nationkey", "n_name")
     return (
         fuente.estrella("supplier")
-        .join(nacion, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            _cliente("s_suppkey").alias("ini_cliente"),
-            F.col("s_suppkey").cast("int").alias("n_local"),
-            F.col("s_name").alias("local"),
-            F.concat(prefijo, "n_name").alias("ciudad"),
-            F.when(F.col("s_suppkey") % 10 == 9, "BODEGA").otherwise("TIENDA").alias("tipo"),
-            F.element_at(F.array(*map(F.lit, "ABC")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("curva"),
-            _texto("s_suppkey").alias("codigo"),
+        .join(nacion, "s_nationkey")
+        .selectExpr(
+            "if(s_suppkey % 2 = 0, 'FL', 'RP') as ini_cliente",
+            "cast(s_suppkey as int) as n_local",
+            "s_name as local",
+            "concat(lpad(cast(s_nationkey as string), 3, '0'), '- ', n_name) as ciudad",
+            "if(s_suppkey % 10 = 9, 'BODEGA', 'TIENDA') as tipo",
+            "substring('ABC', cast(s_suppkey % 3 + 1 as int), 1) as curva",
+            "cast(s_suppkey as string) as codigo",
         )
     )
 
 
 def _cat_sku(fuente: FuenteEstrella) -> DataFrame:
-    clave = F.col("p_partkey")
-    categoria = F.concat(
-        F.lit("J"), F.lpad((clave % 20).cast("string"), 6, "0"), F.col("p_type")
-    )
-    return fuente.estrella("part").where(clave % 50 != 49).select(
-        _texto("p_partkey").alias("ean"),
-        F.concat(F.lit("SKU"), _texto("p_partkey")).alias("sku"),
-        F.col("p_type").alias("ref_modelo"),
-        F.col("p_brand").alias("marca"),
-        categoria.alias("categoria"),
-        _codigo_color(clave % 17).alias("cod_color"),
-        F.when(F.col("p_size") > 44, "M").otherwise(_texto("p_size")).alias("talla"),
-        F.col("p_name").alias("descripcion_nueva"),
+    return fuente.estrella("part").where("p_partkey % 50 <> 49").selectExpr(
+        "cast(p_partkey as string) as ean",
+        "concat('SKU', p_partkey) as sku",
+        "p_type as ref_modelo",
+        "p_brand as marca",
+        "concat('J', lpad(cast(p_partkey % 20 as string), 6, '0'), p_type) as categoria",
+        "lpad(cast(p_partkey % 17 as string), 3, '0') as cod_color",
+        "if(p_size > 44, 'M', cast(p_size as string)) as talla",
+        "p_name as descripcion_nueva",
     )
 
 
 def _monitoreo(fuente: FuenteEstrella) -> DataFrame:
-    tipo, marca = F.col("p_type"), F.col("p_brand")
     return (
         fuente.estrella("part")
-        .where(~((tipo == "LARGE") & (marca == "Brand#7")))
-        .select(tipo, marca)
+        .where("not (p_type = 'LARGE' and p_brand = 'Brand#7')")
+        .select("p_type", "p_brand")
         .distinct()
-        .select(
-            tipo.alias("modelo"),
-            marca.alias("marca"),
-            F.when(tipo.isin("ECONOMY", "STANDARD"), "programa")
-            .when(tipo == "PROMO", "moda")
-            .otherwise("basico")
-            .alias("tipo"),
-            F.when(~tipo.isin("SMALL", "PROMO"), F.concat(F.lit("FIT "), F.substring(tipo, 1, 1))).alias("fit"),
+        .selectExpr(
+            "p_type as modelo",
+            "p_brand as marca",
+            "case when p_type in ('ECONOMY', 'STANDARD') then 'programa'"
+            " when p_type = 'PROMO' then 'moda' else 'basico' end as tipo",
+            "case when p_type not in ('SMALL', 'PROMO') then concat('FIT ', substring(p_type, 1, 1)) end as fit",
         )
     )
 
 
 def _marca(fuente: FuenteEstrella) -> DataFrame:
-    marca = F.col("p_brand")
     return (
         fuente.estrella("part")
-        .where(~marca.isin("Brand#5", "Brand#15"))
-        .select(marca.alias("marca_bd"))
+        .where("p_brand not in ('Brand#5', 'Brand#15')")
+        .select("p_brand")
         .distinct()
-        .select("marca_bd", F.concat(F.lit("M"), F.right("marca_bd", F.lit(1))).alias("new_marca"))
+        .selectExpr("p_brand as marca_bd", "concat('M', right(p_brand, 1)) as new_marca")
     )
 
 
@@ -194,25 +171,22 @@ def _marca_subclase(fuente: FuenteEstrella) -> DataFrame:
 
 
 def _cod_color(fuente: FuenteEstrella) -> DataFrame:
-    k = F.col("k")
     return (
         fuente.estrella("part")
-        .select((F.col("p_partkey") % 17).alias("k"))
-        .where(k != 15)
+        .selectExpr("p_partkey % 17 as k")
+        .where("k <> 15")
         .distinct()
-        .select(
-            _codigo_color(k).alias("codigo"),
-            F.concat(F.lit("COLOR"), (k % 6).cast("string")).alias("color"),
-            F.when(k != 16, F.concat(F.lit("#0000"), F.lpad(k.cast("string"), 2, "0"))).alias("color_hexa"),
+        .selectExpr(
+            "lpad(cast(k as string), 3, '0') as codigo",
+            "concat('COLOR', k % 6) as color",
+            "case when k <> 16 then concat('#0000', lpad(cast(k as string), 2, '0')) end as color_hexa",
         )
     )
 
 
 def _ecat_fala(fuente: FuenteEstrella) -> DataFrame:
-    clave = F.col("p_partkey")
-    return fuente.estrella("part").where(clave % 3 != 0).select(
-        _texto("p_partkey").alias("upc"),
-        F.concat(F.lit("MAD"), (clave % 100).cast("string")).alias("sku_madre"),
+    return fuente.estrella("part").where("p_partkey % 3 <> 0").selectExpr(
+        "cast(p_partkey as string) as upc", "concat('MAD', p_partkey % 100) as sku_madre"
     )
 
 

@@ -36,7 +36,7 @@ class Fuente:
 
     def _hechos(self, nombre: str, cliente: str, rangos: Sequence[Rango]) -> DataFrame:
         return self.tabla(nombre).where(
-            (F.col("ini_cliente") == cliente) & en_rangos(F.col("fecha"), rangos)
+            (F.col("ini_cliente") == cliente) & F.expr(en_rangos("fecha", rangos))
         )
 
 
