@@ -158,7 +158,7 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "ventas_stock_detalle_rp": lambda c, u: reportes.ventas_stock_detalle(c, _rp(u)),
     "ventas_sem_ano": lambda c, u: reportes.ventas_sem_ano(c, _anual(u)),
     "ventas_stock_8sem": lambda c, u: reportes.ventas_stock_8sem(c, VentanaReciente(umbral=u, as_of=HOY)),
-    "semanas_disponibles": lambda c, u: catalogos.semanas_disponibles(c.fuente),
+    "semanas_disponibles": lambda c, u: catalogos.semanas_disponibles(c),
     "clientes": lambda c, u: catalogos.clientes(c.fuente),
     "cliente_defecto": lambda c, u: catalogos.cliente_defecto(catalogos.clientes(c.fuente)),
     "tiendas": lambda c, u: catalogos.tiendas(c.fuente),
@@ -181,7 +181,7 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "resumen_una_tienda": lambda c, u: filtros.una_tienda(_por_tienda(c, u), "2"),
     "orden_tallas": _orden_tallas,
     "rango_fechas_defecto": lambda c, u: catalogos.rango_fechas_defecto(
-        catalogos.semanas_disponibles(c.fuente), HOY
+        catalogos.semanas_disponibles(c), HOY
     ),
     "vista_previa": _vista_previa,
     # summary

@@ -6,6 +6,9 @@ import datetime as dt
 import re
 from decimal import Decimal
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
+
 from vitrina.schemas import ESQUEMAS
 from vitrina.sources.tablas import Fuente
 
@@ -47,7 +50,12 @@ class FuenteMemoria(Fuente):
         self.datos = {n: tablas.get(n, []) for n in ESQUEMAS}
 
     def tabla(self, nombre):
-        return self.spark.createDataFrame(self.datos[nombre], ESQUEMAS[nombre])
+        esquema = ESQUEMAS[nombre]
+        columnas = list(zip(*self.datos[nombre])) or [()] * len(esquema)
+        arrow = pa.table(
+            [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columnas, esquema)], esquema.names
+        )
+        return self.spark.createDataFrame(arrow)
 
     def dicts(self, nombre):
         nombres = ESQUEMAS[nombre].names

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("compartida")))
         .getOrCreate()
@@ -32,3 +33,15 @@ def datos():
     if not DATOS.exists():
         pytest.skip("test data not available")
     return str(DATOS)
+
+
+@pytest.fixture(scope="module")
+def sin_codegen(spark):
+    """Interpreted expressions: compiling code for a handful of rows is most
+    of a query's time. The parity tests run compiled."""
+    claves = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    for clave, valor in claves.items():
+        spark.conf.set(clave, valor)
+    yield
+    for clave in claves:
+        spark.conf.unset(clave)

@@ -14,6 +14,8 @@ from vitrina.params import Ventana, VentanaAnual, VentanaReciente
 from vitrina.plans import reportes
 from vitrina.plans.contexto import Contexto
 
+pytestmark = pytest.mark.usefixtures("sin_codegen")
+
 LUN = dt.date(2024, 2, 26)  # the week holds 29 February
 
 

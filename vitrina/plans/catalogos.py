@@ -7,9 +7,10 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expresiones import corte_semanal, etiqueta_semana, lunes, sin_prefijo
+from ..functions.expresiones import corte_semanal, lunes, sin_prefijo
 from ..params import CLIENTE_DEFECTO
 from ..sources.tablas import Fuente
+from .contexto import Contexto
 
 POSICION_DESDE = 6  # default range: newest week back to the sixth newest
 
@@ -31,23 +32,16 @@ def tiendas(fuente: Fuente) -> DataFrame:
     )
 
 
-def etiquetas_semana(semanas: DataFrame) -> DataFrame:
-    """Calendar with the label of its week end, newest first."""
-    return semanas.select(
-        etiqueta_semana(F.col("dia_fin"), F.col("n_sem")).alias("semana_formateada"),
-        F.col("dia_fin").alias("fin_semana"),
-    )
-
-
-def semanas_disponibles(fuente: Fuente) -> DataFrame:
+def semanas_disponibles(ctx: Contexto) -> DataFrame:
     """Weeks that overlap the dates with sales, newest first. The two bounds
-    are scalar subqueries: one number each, whatever the size of the facts."""
-    fechas = fuente.tabla("dwh_ventas").select("fecha")
+    are scalar subqueries, which Spark merges into one pass over the facts."""
+    fechas = ctx.fuente.tabla("dwh_ventas").select("fecha")
     primera = fechas.agg(F.min("fecha")).scalar()
     ultima = fechas.agg(F.max("fecha")).scalar()
-    solapan = (F.col("dia_fin") >= primera) & (F.col("dia_inicio") <= ultima)
     return (
-        etiquetas_semana(fuente.tabla("semanas").where(solapan))
+        ctx.semanas()
+        .df.where((F.col("dia_fin") >= primera) & (F.col("lunes") <= ultima))
+        .select(F.col("semanas").alias("semana_formateada"), F.col("dia_fin").alias("fin_semana"))
         .distinct()
         .orderBy(F.col("fin_semana").desc())
     )
