@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expresiones import corte_semanal, lunes, sin_prefijo
@@ -78,6 +78,11 @@ def fechas_corte(df: DataFrame, fecha: Column | str = "fecha") -> DataFrame:
     )
 
 
+def fechas_corte_de(spark: SparkSession, dia: date | None = None) -> DataFrame:
+    """The same for one day, by default today."""
+    return fechas_corte(spark.range(1).select(F.lit(dia or date.today()).alias("fecha")))
+
+
 def lista_tiendas(reporte: DataFrame) -> DataFrame:
     """Stores of a report with their display text, by city and name."""
     return (

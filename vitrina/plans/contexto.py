@@ -63,20 +63,26 @@ class Contexto:
 
     # --- dimensions ---------------------------------------------------------
 
+    def tabla(self, nombre: str) -> Medida:
+        """One of the small rule tables (brands, programmes, colours) as it
+        is. Measured, so that the catalogue is enriched without a shuffle on
+        their few, unevenly used keys."""
+        return self.una_vez((nombre,), lambda: self.fuente.tabla(nombre))
+
     def articulos(self, cliente: str, color: bool = False) -> Medida:
         """Catalogue rows with brand, programme and fit as this client sees
         them; with ``color`` also the colour table's columns."""
         if color:
             return self.una_vez(
                 ("articulos_color", cliente),
-                lambda: con_color(self.articulos(cliente).df, self.fuente.tabla("cod_color")),
+                lambda: con_color(self._articulos(cliente), self.tabla("cod_color").lado()),
             )
         return self.una_vez(("articulos", cliente), lambda: self._articulos(cliente))
 
     def _articulos(self, cliente: str) -> DataFrame:
-        tabla = self.fuente.tabla
-        con_marca = marca_efectiva(tabla("cat_sku"), tabla("marca_subclase"), tabla("marca"), cliente)
-        return con_programa(con_marca, tabla("monitoreo")).select(*COLUMNAS_ARTICULO)
+        excepciones, correcciones = self.tabla("marca_subclase").lado(), self.tabla("marca").lado()
+        con_marca = marca_efectiva(self.fuente.tabla("cat_sku"), excepciones, correcciones, cliente)
+        return con_programa(con_marca, self.tabla("monitoreo").lado()).select(*COLUMNAS_ARTICULO)
 
     def tiendas(self, cliente: str) -> Medida:
         return self.una_vez(
@@ -115,12 +121,15 @@ class Contexto:
         with self._cerrojo:
             cerrojo = self._cerrojos.setdefault(clave, threading.Lock())
         with cerrojo:
-            guardada = self._guardadas.get(clave)
-            if guardada is None or time.monotonic() - guardada[0] > self._vigencia:
+            if not self._vigente(clave):
                 nombre = "-".join(str(parte) for parte in clave if isinstance(parte, (str, int, date)))
                 tabla = self.almacen.guardar(nombre, derivar(), medir=medir)
-                guardada = self._guardadas[clave] = (time.monotonic(), tabla)
-            return guardada[1]
+                self._guardadas[clave] = (time.monotonic(), tabla)
+            return self._guardadas[clave][1]
+
+    def _vigente(self, clave: tuple) -> bool:
+        guardada = self._guardadas.get(clave)
+        return guardada is not None and time.monotonic() - guardada[0] <= self._vigencia
 
     def resultado(self, reporte: Callable[..., DataFrame], parametros: Hashable, **opciones) -> DataFrame:
         """Rows of a report, computed once and kept while they are valid, for
@@ -136,14 +145,21 @@ class Contexto:
         )
 
     def preparar(self, cliente: str, *, color: bool = False) -> None:
-        """Write the dimensions a report of this client needs, side by side."""
+        """Write the dimensions a report of this client needs, side by side;
+        the item tables follow the rule tables they are built from."""
+        articulos = ["articulos", *(["articulos_color"] if color else [])]
+        claves = [("semanas",), *((n, cliente) for n in ("tiendas", *articulos))]
+        if all(map(self._vigente, claves)):
+            return
+        reglas = ["marca_subclase", "marca", "monitoreo", *(["cod_color"] if color else [])]
         self._a_la_vez(
             [
-                lambda: self.articulos(cliente, color),
+                *(lambda r=r: self.tabla(r) for r in reglas),
                 lambda: self.tiendas(cliente),
                 self.semanas,
             ]
         )
+        self._a_la_vez([lambda n=n: self.articulos(cliente, n == "articulos_color") for n in articulos])
 
     def _a_la_vez(self, tareas: Sequence[Callable[[], T]]) -> list[T]:
         con_sesion = inheritable_thread_target(self.spark)

@@ -104,17 +104,20 @@ def _base(
     ctx: Contexto,
     cliente: str,
     movs: DataFrame,
-    grupos: Medida,
+    dia: date,
+    umbral: int,
     *,
     how: str,
     color: bool = False,
     solo_tiendas: bool = True,
     consolidado: bool = False,
 ) -> DataFrame:
-    """Movements with every attribute a report groups by. Facts are
+    """Movements with every attribute a report groups by; ``dia`` and
+    ``umbral`` decide which brand groups are valid. Facts are
     consolidated first when the report keeps the item or when a dimension is
     too large to broadcast, so that a hot item or store cannot skew the join."""
     ctx.preparar(cliente, color=color)
+    grupos = grupos_medidos(ctx, cliente, dia, umbral)
     articulos = articulos_con_grupos(ctx, cliente, grupos, how, color)
     if consolidado or not (articulos.difundible and ctx.tiendas(cliente).difundible):
         movs = consolidar(movs)
@@ -130,12 +133,9 @@ def _unidades() -> list[Column]:
     return [F.sum("cant_venta").alias("cant_venta"), F.sum("cant_stock").alias("cant_stock")]
 
 
-def _grupos_ventana(ctx: Contexto, p: Ventana) -> Medida:
-    return grupos_medidos(ctx, p.cliente, p.fecha_fin, p.umbral)
-
-
-def _movimientos_ventana(ctx: Contexto, p: Ventana) -> DataFrame:
-    return por_semana(movimientos(ctx, p.cliente, [p.rango_ventas], [p.rango_stock]))
+def _base_ventana(ctx: Contexto, p: Ventana, solo_validas: bool, **opciones) -> DataFrame:
+    movs = por_semana(movimientos(ctx, p.cliente, [p.rango_ventas], [p.rango_stock]))
+    return _base(ctx, p.cliente, movs, p.fecha_fin, p.umbral, how=_como(solo_validas), **opciones)
 
 
 # --- by store, colour, size ----------------------------------------------------------
@@ -192,37 +192,17 @@ def ventas_por_tienda(ctx: Contexto, p: Ventana, *, solo_validas: bool = False)
     """Units sold, units in stock and mean price by store, brand, programme,
     fit and week. Rows of groups below the threshold have a null brand, or are
     left out with ``solo_validas``."""
-    return agrupar_por_tienda(
-        _base(ctx, p.cliente, _movimientos_ventana(ctx, p), _grupos_ventana(ctx, p), how=_como(solo_validas))
-    )
+    return agrupar_por_tienda(_base_ventana(ctx, p, solo_validas))
 
 
 def ventas_por_color(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -> DataFrame:
     """Units by store, brand, programme, fit, week and colour."""
-    return agrupar_por_color(
-        _base(
-            ctx,
-            p.cliente,
-            _movimientos_ventana(ctx, p),
-            _grupos_ventana(ctx, p),
-            how=_como(solo_validas),
-            color=True,
-        )
-    )
+    return agrupar_por_color(_base_ventana(ctx, p, solo_validas, color=True))
 
 
 def ventas_por_talla(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -> DataFrame:
     """Units by store, brand, programme, fit, week, colour and size."""
-    return agrupar_por_talla(
-        _base(
-            ctx,
-            p.cliente,
-            _movimientos_ventana(ctx, p),
-            _grupos_ventana(ctx, p),
-            how=_como(solo_validas),
-            color=True,
-        )
-    )
+    return agrupar_por_talla(_base_ventana(ctx, p, solo_validas, color=True))
 
 
 # --- item grain -------------------------------------------------------------------------
@@ -234,16 +214,7 @@ def ventas_stock_detalle(ctx: Contexto, p: Ventana, *, solo_validas: bool = Fals
     The aggregation after the joins keeps store, item and week among its keys,
     so it runs on the partitioning the consolidation left behind.
     """
-    base = _base(
-        ctx,
-        p.cliente,
-        _movimientos_ventana(ctx, p),
-        _grupos_ventana(ctx, p),
-        how=_como(solo_validas),
-        color=True,
-        solo_tiendas=False,
-        consolidado=True,
-    )
+    base = _base_ventana(ctx, p, solo_validas, color=True, solo_tiendas=False, consolidado=True)
     sku_madre = ctx.sku_madre()
     base = base.join(sku_madre.lado(), "ean", "left")
     return (
@@ -303,9 +274,10 @@ def _separar_codigo_color(df: DataFrame) -> DataFrame:
 def ventas_stock_8sem(ctx: Contexto, p: VentanaReciente) -> DataFrame:
     """Store x item x week over the last eight weeks, valid groups only; the
     groups are measured on this week's Monday."""
-    grupos = grupos_medidos(ctx, p.cliente, p.lunes, p.umbral)
     movs = por_semana(movimientos(ctx, p.cliente, [p.rango], [p.rango]))
-    base = _base(ctx, p.cliente, movs, grupos, how="inner", solo_tiendas=False, consolidado=True)
+    base = _base(
+        ctx, p.cliente, movs, p.lunes, p.umbral, how="inner", solo_tiendas=False, consolidado=True
+    )
     return base.groupBy(
         "ini_cliente",
         "c_l",
@@ -330,9 +302,8 @@ def ventas_sem_ano(ctx: Contexto, p: VentanaAnual, *, solo_validas: bool = False
     """Daily sales and stock of the last weeks and of the same span one year
     before. Stock of groups below the threshold is left out; their sales stay,
     with a null brand, unless ``solo_validas``."""
-    grupos = grupos_medidos(ctx, p.cliente, p.corte, p.umbral)
     movs = movimientos(ctx, p.cliente, p.rangos(p.semanas_venta), p.rangos(p.semanas_stock))
-    base = _base(ctx, p.cliente, movs, grupos, how=_como(solo_validas))
+    base = _base(ctx, p.cliente, movs, p.corte, p.umbral, how=_como(solo_validas))
     if not solo_validas:
         valido = F.col("vmt_marca").isNotNull()
         base = base.where(valido | (F.col("n_venta") > 0)).withColumn(
