@@ -187,6 +187,7 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     # summary
     "resumen_todas_tiendas": _resumen,
     "kpis_ultima_semana": lambda c, u: resumen.kpis_ultima_semana(_resumen(c, u)),
+    "textos_kpi": lambda c, u: resumen.textos_kpi(resumen.kpis_ultima_semana(_resumen(c, u))),
     "detalle_semanas_evacuacion": lambda c, u: resumen.detalle_semanas_evacuacion(_resumen(c, u)),
     "subtotales_marca": lambda c, u: resumen.subtotales_marca(_resumen(c, u)),
     "detalle_por_marca": lambda c, u: resumen.detalle_por_marca(_resumen(c, u)),
@@ -199,6 +200,9 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
         participacion.participacion_color(_por_color(c, u))
     ),
     "participacion_talla": lambda c, u: participacion.participacion_talla(_por_talla(c, u)),
+    "etiquetas_talla": lambda c, u: participacion.etiquetas_talla(
+        participacion.participacion_talla(_por_talla(c, u))
+    ).select("talla", "posicion", "texto_venta", "texto_stock"),
     "participacion_talla_tienda": lambda c, u: participacion.participacion_talla_tienda(_por_talla(c, u)),
     "participacion_talla_tienda_colores": lambda c, u: participacion.participacion_talla_tienda(
         _por_talla(c, u), ["COLOR1-001", "COLOR2-008", "COLOR0-012"]

@@ -26,15 +26,15 @@ _POR_TIENDA = f"""
     SELECT ini_cliente, c_l, local, ciudad, g_marca AS marca, g_tipo AS tipo_programa,
            g_fit AS fit_estilo, semana_a AS semanas, {UNIDADES},
            CAST(CASE WHEN sum(v) = 0 THEN 0 ELSE {_PRECIO} END AS DOUBLE) AS pvp_prom
-    FROM linea WHERE tipo_tienda = 'TIENDA' GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
+    FROM linea WHERE tipo_tienda = 'TIENDA' GROUP BY ALL"""
 _POR_COLOR = f"""
     SELECT ini_cliente, tipo_calc AS tipo_programa, c_l, local, ciudad, g_marca AS marca,
            semana_a AS semanas, g_fit AS fit_estilo, color, cod_color AS c_color, color_hexa, {UNIDADES}
-    FROM linea WHERE tipo_tienda = 'TIENDA' GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11"""
+    FROM linea WHERE tipo_tienda = 'TIENDA' GROUP BY ALL"""
 _POR_TALLA = f"""
     SELECT ini_cliente, tipo_calc AS tipo_programa, c_l, local, ciudad, g_marca AS marca,
            semana_a AS semanas, g_fit AS fit_estilo, color || '-' || cod_color AS color, talla, {UNIDADES}
-    FROM linea WHERE tipo_tienda = 'TIENDA' GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10"""
+    FROM linea WHERE tipo_tienda = 'TIENDA' GROUP BY ALL"""
 _DETALLE = f"""
     SELECT ini_cliente, c_l, local, ciudad, linea.ean, sku, f.sku_madre, descripcion_nueva AS descripcion,
            ref_modelo AS modelo, g_marca AS marca, subclase, tipo_calc AS tipo_programa,
@@ -43,19 +43,19 @@ _DETALLE = f"""
            color_hexa, talla, lunes AS fecha, semana_b AS semanas, {UNIDADES},
            nullif(CASE WHEN sum(v) <> 0 THEN {_PRECIO} END, 0) AS pvp_prom
     FROM linea LEFT JOIN ecat_fala f ON f.upc = linea.ean
-    GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19"""
+    GROUP BY ALL"""
 _SEM_ANO = f"""
     SELECT ini_cliente, tipo_calc AS tipo_programa, c_l,
            substring(ciudad, 6, 20) || ' - ' || local AS tienda,
            g_marca AS marca, dia AS fecha, n_sem, ano, {UNIDADES}
     FROM linea
     WHERE tipo_tienda = 'TIENDA' AND (origen = 'V' OR g_marca IS NOT NULL)
-    GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
+    GROUP BY ALL"""
 _OCHO = f"""
     SELECT ini_cliente, c_l, local, ean, sku, ref_modelo AS modelo, g_marca AS marca,
            tipo_calc AS tipo_programa, lunes AS fecha, semana_b AS semanas, {UNIDADES},
            CASE WHEN sum(v) <> 0 THEN {_PRECIO} END AS pvp_prom
-    FROM linea WHERE g_marca IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10"""
+    FROM linea WHERE g_marca IS NOT NULL GROUP BY ALL"""
 
 _TIENDA = _lineas()
 _COLOR_TALLA = _lineas(stock=rango(FIN_STOCK, FIN))
@@ -77,7 +77,7 @@ resumen AS (
                sum(pvp_prom * cant_venta) AS bruto
         FROM r
         WHERE fit_estilo IS NOT NULL AND semanas IS NOT NULL AND marca IS NOT NULL
-        GROUP BY 1, 2, 3, 4, 5
+        GROUP BY ALL
     )
 )"""
 _RESUMEN_COLS = "ini_cliente, marca, tipo_programa, fit_estilo, semanas, cant_venta, cant_stock, pvp_prom"
@@ -95,7 +95,7 @@ tono AS (
     SELECT color, color_hexa, c_color, CAST(sum(cant_venta) AS BIGINT) AS cant_venta,
            CAST(sum(cant_stock) AS BIGINT) AS cant_stock
     FROM r WHERE color IS NOT NULL AND color_hexa IS NOT NULL AND c_color IS NOT NULL
-    GROUP BY 1, 2, 3
+    GROUP BY ALL
 ),
 tono_visible AS (
     SELECT *, cant_venta + cant_stock AS total_unidades,
@@ -119,7 +119,7 @@ TALLAS = f"orden_talla AS (SELECT unnest({list(ORDEN_TALLAS)}) AS talla, unnest(
 def _curva_tiendas(filtro: str) -> str:
     return f"""
 base AS (SELECT * FROM r {filtro}),
-por_talla AS (SELECT talla, sum(cant_venta + cant_stock) AS u FROM base GROUP BY 1),
+por_talla AS (SELECT talla, sum(cant_venta + cant_stock) AS u FROM base GROUP BY ALL),
 visible AS (SELECT talla FROM por_talla WHERE u / (SELECT sum(u) FROM por_talla) * 100 >= 0.5),
 resto AS (SELECT base.* FROM base JOIN visible ON base.talla IS NOT DISTINCT FROM visible.talla),
 celda AS (
@@ -128,7 +128,7 @@ celda AS (
     FROM (SELECT DISTINCT ciudad, local FROM resto) t
     JOIN (SELECT o.* FROM orden_talla o JOIN visible USING (talla)) o ON TRUE
     LEFT JOIN resto b ON b.ciudad = t.ciudad AND b.local = t.local AND b.talla = o.talla
-    GROUP BY 1, 2, 3, 4
+    GROUP BY ALL
 )"""
 
 
@@ -187,7 +187,7 @@ def consultas() -> dict[str, str]:
     q["semanas_disponibles"] = consulta(DISPONIBLES, final="SELECT * FROM disponible")
     q["clientes"] = consulta(final="SELECT DISTINCT ini_cliente FROM dwh_ventas")
     q["cliente_defecto"] = consulta(
-        final="SELECT ini_cliente FROM dwh_ventas GROUP BY 1 ORDER BY ini_cliente <> 'FL', ini_cliente LIMIT 1"
+        final="SELECT ini_cliente FROM dwh_ventas GROUP BY ini_cliente ORDER BY ini_cliente <> 'FL', ini_cliente LIMIT 1"
     )
     q["tiendas"] = consulta(final="SELECT * FROM tiendas")
     q["fechas_corte"] = consulta(
@@ -240,7 +240,7 @@ def consultas() -> dict[str, str]:
         final="""
         SELECT talla, cant_venta, cant_stock, CAST(p AS INTEGER) AS posicion
         FROM (SELECT talla, CAST(sum(cant_venta) AS BIGINT) AS cant_venta,
-                     CAST(sum(cant_stock) AS BIGINT) AS cant_stock FROM r GROUP BY 1)
+                     CAST(sum(cant_stock) AS BIGINT) AS cant_stock FROM r GROUP BY ALL)
         LEFT JOIN orden_talla USING (talla)""",
     )
     q["rango_fechas_defecto"] = consulta(
@@ -271,6 +271,18 @@ def consultas() -> dict[str, str]:
                round(sum(pvp_prom * cant_venta) / sum(cant_venta), 6) AS pvp_ponderado
         FROM resumen WHERE semanas = (SELECT max(semanas) FROM resumen)""",
     )
+    q["textos_kpi"] = consulta(
+        *_TIENDA,
+        R_TIENDA,
+        RESUMEN,
+        final="""
+        SELECT semana, format('{:,}', v) AS venta, format('{:,}', s) AS stock,
+               printf('%.1f%%', v / (v + s) * 100) AS sell_through,
+               '$ ' || format('{:,}', CAST(round_even(bruto / v, 0) AS BIGINT)) AS pvp
+        FROM (SELECT max(semanas) AS semana, CAST(sum(cant_venta) AS BIGINT) AS v,
+                     CAST(sum(cant_stock) AS BIGINT) AS s, sum(pvp_prom * cant_venta) AS bruto
+              FROM resumen WHERE semanas = (SELECT max(semanas) FROM resumen))""",
+    )
     evac = "round(CASE WHEN cant_venta = 0 THEN 0.0 ELSE cant_stock / cant_venta END, 6) AS sem_evac"
     q["detalle_semanas_evacuacion"] = consulta(
         *_TIENDA, R_TIENDA, RESUMEN, final=f"SELECT {_RESUMEN_COLS}, {evac} FROM resumen"
@@ -281,7 +293,7 @@ def consultas() -> dict[str, str]:
         RESUMEN,
         final="""
         SELECT marca, CAST(sum(cant_venta) AS BIGINT) AS cant_venta,
-               CAST(sum(cant_stock) AS BIGINT) AS cant_stock FROM resumen GROUP BY 1""",
+               CAST(sum(cant_stock) AS BIGINT) AS cant_stock FROM resumen GROUP BY ALL""",
     )
     q["detalle_por_marca"] = consulta(
         *_TIENDA,
@@ -322,13 +334,13 @@ def consultas() -> dict[str, str]:
         *_COLOR_TALLA,
         R_COLOR,
         """
-        sombra AS (SELECT color, color_hexa, c_color, sum(cant_venta + cant_stock) AS u FROM r GROUP BY 1, 2, 3),
+        sombra AS (SELECT color, color_hexa, c_color, sum(cant_venta + cant_stock) AS u FROM r GROUP BY ALL),
         nombre AS (SELECT DISTINCT color FROM sombra WHERE u / (SELECT sum(u) FROM sombra) * 100 >= 1.5),
         local_tono AS (
             SELECT ciudad, local, color, color_hexa, c_color, sum(cant_venta) AS v, sum(cant_stock) AS s
             FROM r WHERE color IN (SELECT color FROM nombre WHERE color IS NOT NULL)
              AND color_hexa IS NOT NULL AND c_color IS NOT NULL
-            GROUP BY 1, 2, 3, 4, 5
+            GROUP BY ALL
         )""",
         final=f"""
         SELECT ciudad, local, color, color_hexa, c_color,
@@ -368,7 +380,7 @@ def consultas() -> dict[str, str]:
         """
         curva AS (
             SELECT o.talla, o.p, sum(cant_venta) AS v, sum(cant_stock) AS s
-            FROM r JOIN orden_talla o USING (talla) GROUP BY 1, 2
+            FROM r JOIN orden_talla o USING (talla) GROUP BY ALL
         )""",
         final=f"""
         SELECT talla, CAST(p AS INTEGER) AS posicion, CAST(v AS BIGINT) AS cant_venta,
@@ -377,6 +389,21 @@ def consultas() -> dict[str, str]:
                {_pct('s', '(sum(s) OVER ())')} AS pct_participacion_stock
         FROM curva""",
     )
+    q["etiquetas_talla"] = consulta(
+        *_COLOR_TALLA,
+        R_TALLA,
+        TALLAS,
+        """
+        curva AS (
+            SELECT o.talla, o.p, sum(cant_venta) AS v, sum(cant_stock) AS s
+            FROM r JOIN orden_talla o USING (talla) GROUP BY ALL
+        )""",
+        final="""
+        SELECT talla, CAST(p AS INTEGER) AS posicion,
+               printf('%.1f%%', v / sum(v) OVER () * 100) AS texto_venta,
+               printf('%.1f%%', s / sum(s) OVER () * 100) AS texto_stock
+        FROM curva""",
+    )
     q["participacion_talla_tienda"] = consulta(*_COLOR_TALLA, R_TALLA, TALLAS, _curva_tiendas(""), final=_CELDA)
     q["participacion_talla_tienda_colores"] = consulta(
         *_COLOR_TALLA,

@@ -58,6 +58,16 @@ def test_kpis(por_tienda):
     assert k["pvp_ponderado"] == pytest.approx((3 * 20 + 4 * 30) / 7)
 
 
+def test_textos_kpi(por_tienda):
+    grandes = por_tienda.withColumns({"cant_venta": F.col("cant_venta") * 1000, "pvp_prom": F.col("pvp_prom") * 1000})
+    (t,) = dicts(resumen.textos_kpi(resumen.kpis_ultima_semana(grandes)))
+    pct = 7000 / 7024 * 100
+    assert t == {
+        "semana": S2, "venta": "7,000", "stock": "24", "sell_through": f"{pct:.1f}%",
+        "pvp": f"$ {(3 * 20 + 4 * 30) / 7 * 1000:,.0f}",
+    }
+
+
 def test_kpis_sin_filas(por_tienda):
     (k,) = dicts(resumen.kpis_ultima_semana(por_tienda.where("false")))
     assert k == {"semana": None, "venta_unidades": 0, "stock_unidades": 0, "sell_through": 0.0, "pvp_ponderado": 0.0}
@@ -182,6 +192,8 @@ def test_participacion_talla(por_talla):
     assert [f["talla"] for f in filas_] == ["XL", "M", "S", "34"]
     assert filas_[2]["pct_participacion_venta"] == pytest.approx(6 / 11 * 100)
     assert sum(f["pct_participacion_stock"] for f in filas_) == pytest.approx(100)
+    textos = dicts(participacion.etiquetas_talla(participacion.participacion_talla(por_talla)))
+    assert [f["texto_venta"] for f in textos] == [f"{f['cant_venta'] / 11 * 100:.1f}%" for f in filas_]
     assert [f["posicion"] for f in filas_] == [ORDEN_TALLAS.index(t) + 1 for t in ("XL", "M", "S", "34")]
 
 

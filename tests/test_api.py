@@ -39,6 +39,13 @@ def test_parametros_y_guardado(ctx):
     assert consultar(ctx, "ventas_por_talla", PARAMETROS, guardar=True, solo_validas=True) is guardado
 
 
+def test_lista_guardada(ctx):
+    semanas = consultar(ctx, "semanas_disponibles", guardar=True)
+    directas = consultar(ctx, "semanas_disponibles")
+    assert semanas.collect() == directas.collect()
+    assert filas(consultar(ctx, "clientes", guardar=True)) == [("FL",), ("RP",)]
+
+
 def test_nombre_desconocido(ctx):
     with pytest.raises(KeyError):
         consultar(ctx, "ventas_por_arte")

@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .params import Ventana, VentanaAnual, VentanaReciente
 from .plans import catalogos, reportes
@@ -26,11 +27,12 @@ REPORTES: dict[str, tuple[Callable[..., DataFrame], type]] = {
     "ventas_sem_ano": (reportes.ventas_sem_ano, VentanaAnual),
     "ventas_stock_8sem": (reportes.ventas_stock_8sem, VentanaReciente),
 }
-LISTAS: dict[str, Callable[[Contexto], DataFrame]] = {
-    "semanas_disponibles": catalogos.semanas_disponibles,
-    "clientes": lambda ctx: catalogos.clientes(ctx.fuente),
-    "tiendas": lambda ctx: catalogos.tiendas(ctx.fuente),
-    "fechas_corte": lambda ctx: catalogos.fechas_corte_de(ctx.spark),
+# Lists with the column that orders them, if any.
+LISTAS: dict[str, tuple[Callable[[Contexto], DataFrame], str | None]] = {
+    "semanas_disponibles": (catalogos.semanas_disponibles, "fin_semana"),
+    "clientes": (lambda ctx: catalogos.clientes(ctx.fuente), None),
+    "tiendas": (lambda ctx: catalogos.tiendas(ctx.fuente), None),
+    "fechas_corte": (lambda ctx: catalogos.fechas_corte_de(ctx.spark), None),
 }
 
 
@@ -42,11 +44,15 @@ def consultar(
     guardar: bool = False,
     **opciones: Any,
 ) -> DataFrame:
-    """Rows of a report. ``guardar`` keeps the result for later calls with the
-    same parameters; ``solo_validas=True`` leaves out groups below the
+    """Rows of a report or list. ``guardar`` keeps the result for later calls
+    with the same parameters; ``solo_validas=True`` leaves out groups below the
     threshold where the report marks them."""
     if nombre in LISTAS:
-        return LISTAS[nombre](ctx)
+        lista, orden = LISTAS[nombre]
+        if not guardar:
+            return lista(ctx)
+        guardada = ctx.una_vez(("lista", nombre), lambda: lista(ctx), medir=False).df
+        return guardada.orderBy(F.col(orden).desc()) if orden else guardada
     reporte, tipo = REPORTES[nombre]
     p = tipo.desde_dict(parametros or {})
     return ctx.resultado(reporte, p, **opciones) if guardar else reporte(ctx, p, **opciones)

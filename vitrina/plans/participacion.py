@@ -134,6 +134,13 @@ def participacion_talla(por_talla: DataFrame, orden: Sequence[str] = ORDEN_TALLA
     return _con_participaciones(listadas).orderBy(F.col("posicion").desc())
 
 
+def etiquetas_talla(participacion: DataFrame) -> DataFrame:
+    """Label texts of both bars of every size."""
+    return participacion.withColumns(
+        {f"texto_{m}": texto_pct(F.col(f"pct_participacion_{m}")) for m in ("venta", "stock")}
+    )
+
+
 def tallas_relevantes(por_talla: DataFrame, min_pct: float = CORTE_TALLA) -> DataFrame:
     """Sizes with at least ``min_pct`` of all units, null and unlisted ones
     included."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expresiones import razon
+from ..functions.expresiones import razon, texto_pct
 
 CLAVES_RESUMEN = ("ini_cliente", "marca", "tipo_programa", "fit_estilo", "semanas")
 
@@ -53,6 +53,17 @@ def kpis_ultima_semana(resumen: DataFrame) -> DataFrame:
     )
 
 
+def textos_kpi(kpis: DataFrame) -> DataFrame:
+    """The indicators as display texts."""
+    return kpis.select(
+        "semana",
+        F.format_number("venta_unidades", 0).alias("venta"),
+        F.format_number("stock_unidades", 0).alias("stock"),
+        texto_pct(F.col("sell_through")).alias("sell_through"),
+        F.concat(F.lit("$ "), F.format_number("pvp_ponderado", 0)).alias("pvp"),
+    )
+
+
 def detalle_semanas_evacuacion(reporte: DataFrame) -> DataFrame:
     """Report rows with the weeks the stock lasts at the week's pace."""
     return reporte.withColumn("sem_evac", razon(F.col("cant_stock"), F.col("cant_venta"))).orderBy(

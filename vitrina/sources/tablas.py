@@ -54,8 +54,10 @@ class FuenteTablas(Fuente):
 
     @classmethod
     def parquet(cls, spark: SparkSession, raiz: str) -> "FuenteTablas":
-        """``raiz/<table>``; facts partitioned by ``fecha`` prune by folder."""
-        return cls(spark, lambda n: spark.read.schema(ESQUEMAS[n]).parquet(f"{raiz}/{n}"))
+        """``raiz/<table>``; facts partitioned by ``fecha`` prune by folder.
+        With very many files prefer a catalog, which lists only the partitions
+        a report needs."""
+        return cls(spark, lambda n: spark.read.parquet(f"{raiz}/{n}"))
 
     @classmethod
     def catalogo(cls, spark: SparkSession, esquema: str = "dbo") -> "FuenteTablas":
