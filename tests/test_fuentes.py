@@ -104,9 +104,11 @@ def test_carpeta_compartida(spark):
     assert modulo_almacen.carpeta_compartida(spark) == configurada
     medida = Almacen(spark).guardar("x", spark.range(10).selectExpr("cast(id as string) as t", "id"))
     assert medida.filas == 10 and medida.difundible
-    assert medida.bytes_ == 10 * (1 + 2 * 16)
+    assert medida.bytes_ == {"t": 10 * (16 + 1), "id": 10 * 16}
     assert all(configurada in f for f in medida.df.inputFiles())
     assert not Almacen(spark, limite=5).guardar("y", spark.range(10)).difundible
+    justa = Almacen(spark, limite=200).guardar("z", spark.range(10).selectExpr("id", "id as b"))
+    assert not justa.difundible and justa.de("id").difundible and justa.de("id").df.columns == ["id"]
 
 
 class _Conf(dict):
@@ -137,7 +139,7 @@ def test_cluster_sin_carpeta_sigue_sin_difundir(spark, estrella, monkeypatch):
 
 def test_tabla_vacia_es_difundible(spark):
     medida = Almacen(spark).guardar("vacia", spark.range(0))
-    assert (medida.filas, medida.bytes_, medida.difundible) == (0, 0, True)
+    assert (medida.filas, medida.bytes_, medida.difundible) == (0, {"id": 0}, True)
 
 
 def test_vigencia(spark):

@@ -21,12 +21,14 @@ from ..functions.expresiones import (
     precio_o_cero,
     sin_prefijo,
 )
-from ..operators.grupos import con_grupos, grupos_validos
+from ..operators.grupos import CLAVES, con_grupos, grupos_validos
 from ..operators.hechos import consolidar, movimientos_stock, por_semana, unir_movimientos
 from ..params import Rango, Ventana, VentanaAnual, VentanaReciente
 from ..sources.almacen import Medida
-from .contexto import Contexto
+from .contexto import COLUMNAS_ARTICULO, COLUMNAS_COLOR, Contexto
 
+# Item columns every report needs: the key and what makes up its group.
+ATRIBUTOS = ("ean", "marca_calc", "tipo_calc", "fit_calc")
 TIPO_TIENDA = "TIENDA"
 # Fixed value: the longest city name shown in a store label.
 LARGO_CIUDAD = 20
@@ -44,12 +46,11 @@ def movimientos(
 def grupos_del_dia(ctx: Contexto, cliente: str, dia: date, umbral: int) -> DataFrame:
     """Groups whose stock on one snapshot day, over stores of any type,
     reaches the threshold."""
-    articulos = ctx.articulos(cliente)
+    articulos = ctx.articulos(cliente).de(*ATRIBUTOS)
     stock = movimientos_stock(ctx.fuente.stock(cliente, [(dia, dia)]))
     if not articulos.difundible:
         stock = consolidar(stock, ["ean"])
-    atributos = articulos.df.select("ean", "marca_calc", "tipo_calc", "fit_calc")
-    return grupos_validos(stock.join(articulos.lado(atributos), "ean", "left"), umbral)
+    return grupos_validos(stock.join(articulos.lado(), "ean", "left"), umbral)
 
 
 def grupos_medidos(ctx: Contexto, cliente: str, dia: date, umbral: int) -> Medida:
@@ -61,12 +62,18 @@ def grupos_medidos(ctx: Contexto, cliente: str, dia: date, umbral: int) -> Medid
 
 
 def articulos_con_grupos(
-    ctx: Contexto, cliente: str, grupos: Medida, how: str, color: bool = False
+    ctx: Contexto, cliente: str, grupos: Medida, how: str, columnas: Sequence[str] = ()
 ) -> Medida:
-    """Items with their valid group, joined at catalogue grain. A group is
-    unique, so the item table does not grow and its measure stays a bound."""
-    articulos = ctx.articulos(cliente, color)
-    return replace(articulos, df=con_grupos(articulos.df, grupos.lado(), how))
+    """Items with their valid group and the given further columns, joined at
+    catalogue grain. A group is unique and repeats the item's own values, so
+    the item table does not grow and the measure stays a bound."""
+    color = not set(COLUMNAS_COLOR).isdisjoint(columnas)
+    articulos = ctx.articulos(cliente, color).de(*ATRIBUTOS, *columnas)
+    bytes_ = articulos.bytes_ and {
+        **articulos.bytes_,
+        **{g: articulos.bytes_[a] for g, a in zip(CLAVES, ATRIBUTOS[1:])},
+    }
+    return replace(articulos, df=con_grupos(articulos.df, grupos.lado(), how), bytes_=bytes_)
 
 
 def enriquecer(
@@ -80,7 +87,7 @@ def enriquecer(
 ) -> DataFrame:
     """Movements with item and store attributes. ``solo_tiendas`` keeps only
     locations of the store type; otherwise unknown stores stay with nulls."""
-    articulos = articulos or ctx.articulos(cliente)
+    articulos = articulos or ctx.articulos(cliente).de(*ATRIBUTOS)
     tiendas = ctx.tiendas(cliente)
     locales = tiendas.df
     if solo_tiendas:
@@ -108,18 +115,22 @@ def _base(
     umbral: int,
     *,
     how: str,
-    color: bool = False,
+    columnas: Sequence[str] = (),
     solo_tiendas: bool = True,
     consolidado: bool = False,
 ) -> DataFrame:
-    """Movements with every attribute a report groups by; ``dia`` and
-    ``umbral`` decide which brand groups are valid. Facts are
-    consolidated first when the report keeps the item or when a dimension is
-    too large to broadcast, so that a hot item or store cannot skew the join."""
-    ctx.preparar(cliente, color=color)
+    """Movements with every attribute a report groups by, ``columnas`` of the
+    item among them; ``dia`` and ``umbral`` decide which brand groups are
+    valid. Facts are consolidated first when the report keeps the item or when
+    a dimension is too large to broadcast, so that a hot item or store cannot
+    skew the join."""
+    ctx.preparar(cliente, color=not set(COLUMNAS_COLOR).isdisjoint(columnas))
     grupos = grupos_medidos(ctx, cliente, dia, umbral)
-    articulos = articulos_con_grupos(ctx, cliente, grupos, how, color)
+    articulos = articulos_con_grupos(ctx, cliente, grupos, how, columnas)
     if consolidado or not (articulos.difundible and ctx.tiendas(cliente).difundible):
+        if how == "inner" and articulos.difundible:
+            # Items outside the valid groups need not be shuffled at all.
+            movs = movs.join(articulos.lado(articulos.df.select("ean")), "ean", "left_semi")
         movs = consolidar(movs)
     df = enriquecer(ctx, cliente, movs, articulos, how=how, solo_tiendas=solo_tiendas)
     return con_semana(ctx, df)
@@ -197,12 +208,16 @@ def ventas_por_tienda(ctx: Contexto, p: Ventana, *, solo_validas: bool = False)
 
 def ventas_por_color(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -> DataFrame:
     """Units by store, brand, programme, fit, week and colour."""
-    return agrupar_por_color(_base_ventana(ctx, p, solo_validas, color=True))
+    return agrupar_por_color(
+        _base_ventana(ctx, p, solo_validas, columnas=("cod_color", "color", "color_hexa"))
+    )
 
 
 def ventas_por_talla(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -> DataFrame:
     """Units by store, brand, programme, fit, week, colour and size."""
-    return agrupar_por_talla(_base_ventana(ctx, p, solo_validas, color=True))
+    return agrupar_por_talla(
+        _base_ventana(ctx, p, solo_validas, columnas=("cod_color", "color", "talla"))
+    )
 
 
 # --- item grain -------------------------------------------------------------------------
@@ -214,7 +229,14 @@ def ventas_stock_detalle(ctx: Contexto, p: Ventana, *, solo_validas: bool = Fals
     The aggregation after the joins keeps store, item and week among its keys,
     so it runs on the partitioning the consolidation left behind.
     """
-    base = _base_ventana(ctx, p, solo_validas, color=True, solo_tiendas=False, consolidado=True)
+    base = _base_ventana(
+        ctx,
+        p,
+        solo_validas,
+        columnas=[c for c in (*COLUMNAS_ARTICULO, *COLUMNAS_COLOR) if c not in ATRIBUTOS],
+        solo_tiendas=False,
+        consolidado=True,
+    )
     sku_madre = ctx.sku_madre()
     base = base.join(sku_madre.lado(), "ean", "left")
     return (
@@ -276,7 +298,15 @@ def ventas_stock_8sem(ctx: Contexto, p: VentanaReciente) -> DataFrame:
     groups are measured on this week's Monday."""
     movs = por_semana(movimientos(ctx, p.cliente, [p.rango], [p.rango]))
     base = _base(
-        ctx, p.cliente, movs, p.lunes, p.umbral, how="inner", solo_tiendas=False, consolidado=True
+        ctx,
+        p.cliente,
+        movs,
+        p.lunes,
+        p.umbral,
+        how="inner",
+        columnas=("sku", "ref_modelo"),
+        solo_tiendas=False,
+        consolidado=True,
     )
     return base.groupBy(
         "ini_cliente",

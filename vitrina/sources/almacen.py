@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMITE_DIFUSION = 64 * 1024 * 1024
-_BYTES_POR_CAMPO = 16
+BYTES_POR_CAMPO = 16  # slot and padding of a field in memory, besides its text
 
 _locales: dict[str, str] = {}
 
@@ -37,21 +38,28 @@ def carpeta_compartida(spark: SparkSession) -> str | None:
 
 @dataclass(frozen=True)
 class Medida:
-    """A table with its measured size; ``bytes_`` is None when unknown."""
+    """A table with its measured rows and bytes per column; ``bytes_`` is None
+    when nothing was measured."""
 
     df: DataFrame
     filas: int | None = None
-    bytes_: int | None = None
+    bytes_: Mapping[str, int] | None = None
     limite: int = LIMITE_DIFUSION
 
     @property
     def difundible(self) -> bool:
-        return self.bytes_ is not None and self.bytes_ <= self.limite
+        return self.bytes_ is not None and sum(self.bytes_.values()) <= self.limite
+
+    def de(self, *columnas: str) -> "Medida":
+        """Only these columns, with their part of the measure: what a join
+        does not need does not count against the limit."""
+        bytes_ = self.bytes_ and {c: self.bytes_[c] for c in columnas}
+        return replace(self, df=self.df.select(*columnas), bytes_=bytes_)
 
     def lado(self, df: DataFrame | None = None) -> DataFrame:
-        """This table (or a projection / filter of it) as a join side:
-        broadcast if measured small enough, else left to Spark, which sorts
-        and merges or re-plans from runtime sizes."""
+        """This table (or a filter of it) as a join side: broadcast if measured
+        small enough, else left to Spark, which sorts and merges or re-plans
+        from runtime sizes."""
         df = self.df if df is None else df
         return F.broadcast(df) if self.difundible else df
 
@@ -75,23 +83,21 @@ class Almacen:
             df.write.parquet(ruta)
             return Medida(escrito.parquet(ruta), limite=self.limite)
         medicion = Observation()
-        filas, bytes_ = F.count(F.lit(1)).alias("filas"), F.sum(_bytes_de_fila(df)).alias("bytes")
-        df.observe(medicion, filas, bytes_).write.parquet(ruta)
+        textos = [c.name for c in df.schema if isinstance(c.dataType, T.StringType)]
+        df.observe(
+            medicion,
+            F.count(F.lit(1)).alias("filas"),
+            *(F.expr(f"sum(octet_length({c})) as {c}") for c in textos),
+        ).write.parquet(ruta)
         medido = medicion.get
-        return Medida(escrito.parquet(ruta), medido["filas"], medido["bytes"] or 0, self.limite)
+        filas = medido["filas"]
+        bytes_ = {
+            c: filas * BYTES_POR_CAMPO + ((medido[c] or 0) if c in textos else 0) for c in df.columns
+        }
+        return Medida(escrito.parquet(ruta), filas, bytes_, self.limite)
 
     def ruta_nueva(self, nombre: str) -> str:
         if self.raiz is None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return f"{self.raiz}/{nombre}-{uuid.uuid4().hex}"
 
-
-def _bytes_de_fila(df: DataFrame) -> Column:
-    """Estimated in-memory bytes of a row: a slot per field plus its text."""
-    fijo = f"{_BYTES_POR_CAMPO * len(df.columns)}L"
-    textos = [
-        f"coalesce(octet_length({c.name}), 0)"
-        for c in df.schema
-        if isinstance(c.dataType, T.StringType)
-    ]
-    return F.expr(" + ".join([fijo, *textos]))
