@@ -197,7 +197,10 @@ def test_detalle(ctx, fuente):
         return (valor or None,)
 
     df = reportes.ventas_stock_detalle(ctx, P)
-    assert obtenidas(df, df.columns) == agrupar(base, claves, precio)
+    esperado = agrupar(base, claves, precio)
+    assert obtenidas(df, df.columns) == esperado
+    validas = reportes.ventas_stock_detalle(ctx, P, solo_validas=True)
+    assert obtenidas(validas, df.columns) == [f for f in esperado if f[9] is not None] != []
 
 
 def test_detalle_separa_color_desconocido(ctx):
