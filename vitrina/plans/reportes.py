@@ -22,7 +22,7 @@ from ..functions.expresiones import (
     sin_prefijo,
 )
 from ..operators.grupos import CLAVES, con_grupos, grupos_validos
-from ..operators.hechos import consolidar, movimientos_stock, por_semana, unir_movimientos
+from ..operators.hechos import MEDIDAS, consolidar, movimientos_stock, por_semana, unir_movimientos
 from ..params import Rango, Ventana, VentanaAnual, VentanaReciente
 from ..sources.almacen import Medida
 from .contexto import COLUMNAS_ARTICULO, COLUMNAS_COLOR, Contexto
@@ -76,30 +76,29 @@ def articulos_con_grupos(
     return replace(articulos, df=con_grupos(articulos.df, grupos.lado(), how), bytes_=bytes_)
 
 
-def enriquecer(
-    ctx: Contexto,
-    cliente: str,
-    movs: DataFrame,
-    articulos: Medida | None = None,
-    *,
-    how: str = "left",
-    solo_tiendas: bool = True,
-) -> DataFrame:
-    """Movements with item and store attributes. ``solo_tiendas`` keeps only
-    locations of the store type; otherwise unknown stores stay with nulls."""
-    articulos = articulos or ctx.articulos(cliente).de(*ATRIBUTOS)
+def con_articulos(movs: DataFrame, articulos: Medida, how: str = "left") -> DataFrame:
+    return movs.join(articulos.lado(), "ean", how)
+
+
+def con_tienda(ctx: Contexto, cliente: str, df: DataFrame, *, solo_tiendas: bool = True) -> DataFrame:
+    """Store attributes. ``solo_tiendas`` keeps only locations of the store
+    type; otherwise unknown stores stay with nulls."""
     tiendas = ctx.tiendas(cliente)
     locales = tiendas.df
     if solo_tiendas:
         locales = locales.where(F.col("tipo_tienda") == TIPO_TIENDA)
     return (
-        movs.join(articulos.lado(), "ean", how)
-        .join(tiendas.lado(locales.drop("tipo_tienda")), "num_local", "inner" if solo_tiendas else "left")
+        df.join(tiendas.lado(locales.drop("tipo_tienda")), "num_local", "inner" if solo_tiendas else "left")
         .withColumn("ini_cliente", F.lit(cliente))
         .withColumnRenamed("num_local", "c_l")
     )
 
 
+def enriquecer(ctx: Contexto, cliente: str, movs: DataFrame) -> DataFrame:
+    """Movements row by row with the attributes of item and store."""
+    return con_tienda(ctx, cliente, con_articulos(movs, ctx.articulos(cliente).de(*ATRIBUTOS)))
+
+
 def con_semana(ctx: Contexto, df: DataFrame) -> DataFrame:
     """Calendar columns of the week of ``fecha``; null labels for weeks the
     calendar does not know."""
@@ -117,23 +116,30 @@ def _base(
     how: str,
     columnas: Sequence[str] = (),
     solo_tiendas: bool = True,
-    consolidado: bool = False,
+    por_articulo: bool = False,
 ) -> DataFrame:
     """Movements with every attribute a report groups by, ``columnas`` of the
     item among them; ``dia`` and ``umbral`` decide which brand groups are
-    valid. Facts are consolidated first when the report keeps the item or when
-    a dimension is too large to broadcast, so that a hot item or store cannot
-    skew the join."""
+    valid.
+
+    Facts are consolidated first when the report keeps the item
+    (``por_articulo``) or when a dimension is too large to broadcast. In the
+    latter case they are summed again once the item is no longer needed, so
+    that neither a hot item nor a hot store or week can skew a join.
+    """
     ctx.preparar(cliente, color=not set(COLUMNAS_COLOR).isdisjoint(columnas))
     grupos = grupos_medidos(ctx, cliente, dia, umbral)
     articulos = articulos_con_grupos(ctx, cliente, grupos, how, columnas)
-    if consolidado or not (articulos.difundible and ctx.tiendas(cliente).difundible):
+    difundidas = all(m.difundible for m in (articulos, ctx.tiendas(cliente), ctx.semanas()))
+    if por_articulo or not difundidas:
         if how == "inner" and articulos.difundible:
             # Items outside the valid groups need not be shuffled at all.
             movs = movs.join(articulos.lado(articulos.df.select("ean")), "ean", "left_semi")
         movs = consolidar(movs)
-    df = enriquecer(ctx, cliente, movs, articulos, how=how, solo_tiendas=solo_tiendas)
-    return con_semana(ctx, df)
+    df = con_articulos(movs, articulos, how)
+    if not (por_articulo or difundidas):
+        df = consolidar(df, [c for c in df.columns if c not in ("ean", *MEDIDAS)])
+    return con_semana(ctx, con_tienda(ctx, cliente, df, solo_tiendas=solo_tiendas))
 
 
 def _como(solo_validas: bool) -> str:
@@ -235,7 +241,7 @@ def ventas_stock_detalle(ctx: Contexto, p: Ventana, *, solo_validas: bool = Fals
         solo_validas,
         columnas=[c for c in (*COLUMNAS_ARTICULO, *COLUMNAS_COLOR) if c not in ATRIBUTOS],
         solo_tiendas=False,
-        consolidado=True,
+        por_articulo=True,
     )
     sku_madre = ctx.sku_madre()
     base = base.join(sku_madre.lado(), "ean", "left")
@@ -306,7 +312,7 @@ def ventas_stock_8sem(ctx: Contexto, p: VentanaReciente) -> DataFrame:
         how="inner",
         columnas=("sku", "ref_modelo"),
         solo_tiendas=False,
-        consolidado=True,
+        por_articulo=True,
     )
     return base.groupBy(
         "ini_cliente",
