@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vitrina.functions.tallas import ORDEN_TALLAS
 
-from .base import UMBRAL, articulo, consulta, grupo, linea, rango
+from .base import articulo, consulta, grupo, linea, rango
 
 INICIO, FIN, FIN_STOCK = "2001-08-05", "2001-09-09", "2001-09-03"
 # Cut-off Saturday 2001-09-08 and the same day one year before, four weeks each.

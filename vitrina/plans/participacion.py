@@ -101,7 +101,8 @@ def etiquetas_color(participacion: DataFrame) -> DataFrame:
         F.col("c_color").desc(),
         F.col("color_hexa").desc(),
     )
-    total = {f"{m}_grupo": F.sum(m).over(nombre) for m in ("pct_participacion_venta", "pct_participacion_stock", "cant_venta", "cant_stock")}
+    medidas = ("pct_participacion_venta", "pct_participacion_stock", "cant_venta", "cant_stock")
+    total = {f"{m}_grupo": F.sum(m).over(nombre) for m in medidas}
     ultima = F.row_number().over(desde_abajo) == 1
     return (
         participacion.withColumns(total)

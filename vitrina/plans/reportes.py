@@ -295,7 +295,7 @@ def _separar_codigo_color(df: DataFrame) -> DataFrame:
             F.col("n_venta").alias("n"),
         ),
     )
-    resto = [c for c in df.columns if c not in {"codigo", "cod_color", "cant_venta", "cant_stock", "importe", "n_venta", "n_stock"}]
+    resto = [c for c in df.columns if c not in ("codigo", "cod_color", *MEDIDAS)]
     return df.select(*resto, F.inline(partes)).where(F.col("n") > 0).drop("n")
 
 
