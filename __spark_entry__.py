@@ -21,6 +21,12 @@ from vitrina.sources import FuenteEstrella
 INICIO, FIN = date(2001, 8, 5), date(2001, 9, 9)
 HOY = date(2001, 9, 10)
 
+# The subpackage and its pipeline are an addition that may be absent.
+try:
+    from vitrina.llm import queries as llm
+except ImportError:
+    llm = None
+
 Consulta = Callable[[SparkSession, str], DataFrame]
 
 _contextos: dict[tuple[str, str], tuple[Contexto, int]] = {}
@@ -230,8 +236,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Consulta]:
-    return {nombre: _consulta(plan) for nombre, plan in _PLANES.items()}
+    propias = {nombre: _consulta(plan) for nombre, plan in _PLANES.items()}
+    return propias | (llm.QUERIES if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return consultas()
+    return consultas() | (llm.ORACLE_SQL if llm else {})
