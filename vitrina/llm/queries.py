@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import bpe, html, lines, minhash, quality, toxicity, urls, viterbi
+from vitrina.llm import bpe, html, lines, minhash, quality, repeats, toxicity, urls, viterbi
 
 # The rules that the query over pages applies.
 RULES = [
@@ -64,6 +64,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup(docs)
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -112,5 +118,18 @@ m AS (SELECT h.n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
       FROM h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)
       GROUP BY h.n)
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (n)
+""",
+    "op9_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+h AS (SELECT s.doc_id, s.i, array_to_string(w.ws[s.i:s.i + 19], ' ') AS x FROM s JOIN w USING (doc_id)),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM o WHERE n > 1),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+r AS (SELECT t.doc_id, count(*) FILTER (g.k IS NOT NULL) AS n_removed,
+        string_agg(t.word, ' ' ORDER BY t.k) FILTER (g.k IS NULL) AS kept
+      FROM t LEFT JOIN g USING (doc_id, k) GROUP BY t.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
 """,
 }
