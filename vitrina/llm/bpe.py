@@ -183,17 +183,18 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, keys: list[str] | Non
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, keys: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Per row: its keys, `n_tokens`, `ids_sha256` and `decoded_sha256` (the ids
-    encoded, then decoded, in one pass so that neither leaves the task)."""
+    """Per row: its keys, `n_tokens`, `ids`, `ids_sha256` and `decoded_sha256`
+    (texts are encoded and their ids decoded in one pass)."""
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
         table = _merges(ranks, pattern)
         ids = table.encode(texts)
         return {
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "ids": pa.array(ids, pa.binary()),
             "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(table.decode(x)).hexdigest() for x in ids], pa.string()),
         }
 
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
     return _over_texts(docs, text, keys or ["doc_id"], work, schema)

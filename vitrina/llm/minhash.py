@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from vitrina.llm.components import components
 from vitrina.llm.shared import Workspace
@@ -263,3 +264,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         component.alias("component_id"),
         (F.col("id").isNull() | (F.col("id") == component)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without near-duplicates: of each
+    component the document with the least id, and of rows with one id that whose
+    text sorts first. Rows without an id stay."""
+    stay = near_duplicates(docs, key, text).where("kept").select(F.col(key).alias("__stays")).where("__stays is not null").distinct()
+    named = docs.where(F.col(key).isNotNull()).join(stay, F.col(key) == F.col("__stays"), "left_semi")
+    first = F.row_number().over(W.partitionBy(key).orderBy(text))
+    single = named.withColumn("__row", first).where("__row = 1").drop("__row")
+    return single.unionByName(docs.where(F.col(key).isNull()))

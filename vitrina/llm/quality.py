@@ -122,6 +122,11 @@ def statistics(texts: Texts) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return base, features
 
 
+def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
+    """Fewer than 50 words, or more than half of them in repeated windows."""
+    return (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
+
+
 class Trees:
     """Boosted trees as node arrays; node 0 of each tree is its root."""
 
@@ -248,7 +253,7 @@ def judge(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
         for batch in batches:
             for part, texts in blocks(batch, text):
                 base, features = statistics(texts)
-                failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
+                failed = base_failed(base)
                 score = trees.probability(features)
                 kept = ~failed & (score >= threshold)
                 yield pa.RecordBatch.from_arrays(
@@ -265,3 +270,15 @@ def judge(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
     kind = docs.schema[key].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in BASE)
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {counts}, base_failed boolean, score double, kept boolean")
+
+
+def passing(docs: DataFrame, trees: Trees, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that neither the base rule nor the trees reject."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in blocks(batch, text):
+                base, features = statistics(texts)
+                yield part.filter(pa.array(~base_failed(base) & (trees.probability(features) >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
