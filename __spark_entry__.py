@@ -23,9 +23,10 @@ HOY = date(2001, 9, 10)
 
 # The subpackage and its pipeline are an addition that may be absent.
 try:
+    import corpus_pipeline
     from vitrina.llm import queries as llm
 except ImportError:
-    llm = None
+    corpus_pipeline = llm = None
 
 Consulta = Callable[[SparkSession, str], DataFrame]
 
@@ -237,7 +238,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Consulta]:
     propias = {nombre: _consulta(plan) for nombre, plan in _PLANES.items()}
-    return propias | (llm.QUERIES if llm else {})
+    return propias | (llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
