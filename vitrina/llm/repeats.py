@@ -11,11 +11,11 @@ as runs they would differ inside longer runs.)
 
 1. Anchors: a stretch of 20 words holds at least 9 common symbols after a round,
    that is 6 sequences of 4. Of each 6 in a row the one with the least hash is
-   an anchor, so equal stretches share an anchor. Spark counts the anchors of
-   all documents; those met twice reveal where repeats can be.
-2. Verification: only the windows of 20 words around shared anchors are named
-   (96 bits) and grouped; each group's least doc_id owns the window, the others
-   lose its words. Repeats inside one document are found in its task.
+   an anchor, so equal stretches have the same anchors inside. Spark counts the
+   anchors of all documents; where all are met twice, repeats can be.
+2. Verification: only the windows of 20 words all of whose anchors are shared
+   are named (96 bits) and grouped; each group's least doc_id owns the window,
+   the others lose its words. Repeats inside one document are found in its task.
 
 Groups are aggregated before they are joined, so a passage that a third of all
 documents hold is never in one task. Windows are judged on the input.
@@ -67,27 +67,42 @@ def recompress(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return names, place
 
 
-def anchors(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first word and number of words of each anchor."""
-    symbols, place = recompress(names, bounds)
-    symbol_bounds = np.searchsorted(place[:-1], bounds)
-    hashes = runs_of(symbols, SEQUENCE, _SEQUENCE)
-    if not len(hashes):
-        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = within(symbol_bounds, SEQUENCE, len(hashes))
-    worst = np.uint64(0xFFFFFFFFFFFFFFFF)
-    ranked = np.where(inside, hashes, worst)
-    reach = common_symbols() - SEQUENCE + 1
-    padded = np.concatenate([np.full(reach - 1, worst), ranked, np.full(reach - 1, worst)])
-    least = padded[: len(padded) - reach + 1].copy()
-    for j in range(1, reach):
-        np.minimum(least, padded[j : j + len(least)], out=least)
-    # least[i:i + reach] are the minima of the windows that hold sequence i.
-    chosen = np.zeros(len(hashes), bool)
-    for j in range(reach):
-        chosen |= least[j : j + len(hashes)] == ranked
-    at = np.flatnonzero(chosen & inside)
-    return hashes[at], place[at], place[at + SEQUENCE] - place[at]
+class Sequences:
+    """The sequences of symbols in a block of texts, and of each `REACH` in a row the least hash."""
+
+    REACH = common_symbols() - SEQUENCE + 1
+
+    def __init__(self, names: np.ndarray, bounds: np.ndarray) -> None:
+        symbols, self.place = recompress(names, bounds)
+        symbol_bounds = np.searchsorted(self.place[:-1], bounds)
+        self.hashes = runs_of(symbols, SEQUENCE, _SEQUENCE)
+        n = len(self.hashes)
+        inside = within(symbol_bounds, SEQUENCE, n)
+        self.ranked = np.where(inside, self.hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+        rows = max(0, n - self.REACH + 1)
+        self.least = self.ranked[:rows].copy()
+        for j in range(1, self.REACH):
+            np.minimum(self.least, self.ranked[j : j + rows], out=self.least)
+        #: rows of sequences that lie in one text
+        self.whole = within(symbol_bounds, SEQUENCE + self.REACH - 1, rows)
+
+    def anchors(self) -> np.ndarray:
+        """The sequences that are the least of some row."""
+        chosen = np.zeros(len(self.hashes), bool)
+        rows = len(self.least)
+        for j in range(self.REACH):
+            chosen[j : j + rows] |= (self.least == self.ranked[j : j + rows]) & self.whole
+        return np.flatnonzero(chosen)
+
+    def unlike(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word ranges of the rows whose least sequence is not shared: a window that
+        holds one, and a word more on either side, is found nowhere else."""
+        rows = len(self.least)
+        held = np.zeros(rows, bool)
+        for j in range(self.REACH):
+            held |= (self.least == self.ranked[j : j + rows]) & shared[j : j + rows]
+        at = np.flatnonzero(self.whole & ~held)
+        return self.place[at], self.place[at + SEQUENCE + self.REACH - 1]
 
 
 def windows(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,18 +124,21 @@ def _anchor_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for part, texts in blocks(batch, text):
                 words = texts.words()
-                hashes, first, length = anchors(words.hashes(), words.bounds)
+                found = Sequences(words.hashes(), words.bounds)
+                chosen = found.anchors()
+                first = found.place[chosen]
                 owner = np.searchsorted(words.bounds, first, side="right") - 1
                 ids = part.column(part.schema.get_field_index(key)).take(pa.array(owner))
-                at = (first - words.bounds[owner]) * 16 + length
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids, pa.array(at)], ["anchor", "id", "at"])
+                hashes = found.hashes[chosen].view(np.int64)
+                at = (first - words.bounds[owner]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), ids, pa.array(at)], ["anchor", "id", "at"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"anchor long, id {kind}, at long")
+    return docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"anchor long, id {kind}, at int")
 
 
 def _window_rows(marked: DataFrame) -> DataFrame:
-    """w1, w2, id and start of the windows that hold a shared anchor."""
+    """w1, w2, id and start of the windows whose anchors are all shared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,18 +146,24 @@ def _window_rows(marked: DataFrame) -> DataFrame:
                 words = texts.words()
                 names = words.hashes()
                 marks = part.column(part.schema.get_field_index("marks"))
+                sequences = Sequences(names, words.bounds)
+                shared = np.zeros(len(sequences.hashes), bool)
+                marked = marks.flatten().to_numpy() + np.repeat(words.bounds[:-1], marks.value_lengths().to_numpy())
+                shared[np.searchsorted(sequences.place, marked)] = True
+                begin, end = sequences.unlike(shared)
+                # A window start from end - WINDOW + 1 to begin - 1 takes such a range in.
+                edge = np.zeros(len(names) + 1, np.int64)
+                low, high = np.maximum(end - WINDOW + 1, 0), np.maximum(begin, 0)
+                np.add.at(edge, low[low < high], 1)
+                np.add.at(edge, high[low < high], -1)
+                alike = np.cumsum(edge[:-1]) == 0
                 found = []
-                for i, at in enumerate(marks):
+                for i in range(texts.n):
                     first, last = words.bounds[i], words.bounds[i + 1]
                     n = last - first - WINDOW + 1
                     if n <= 0:
                         continue
-                    at = at.values.to_numpy()
-                    edge = np.zeros(n + 1, np.int64)
-                    begin, length = at // 16, at % 16
-                    np.add.at(edge, np.clip(begin + length - WINDOW, 0, n), 1)
-                    np.add.at(edge, np.clip(begin + 1, 0, n), -1)
-                    starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                    starts = np.flatnonzero(alike[first : first + n])
                     w1, w2 = windows(names[first:last])
                     fresh = ~again_inside(w1[starts], w2[starts])
                     starts = starts[fresh]
