@@ -20,6 +20,11 @@ from vitrina.sources import FuenteEstrella
 
 INICIO, FIN = date(2001, 8, 5), date(2001, 9, 9)
 HOY = date(2001, 9, 10)
+UMBRAL = 100  # units in stock from which a brand group is valid, at any scale
+TIENDA = "68"
+SELECCION = {"tipo_programa": "basico", "marca": ["M1", "M2", "M3"]}
+SELECCION_TIENDA = {"tipo_programa": ["basico", "programa"]}
+SEMANAS = ["2001-08-19 Sem 33", "2001-09-02 Sem 35"]
 
 # The subpackage and its pipeline are an addition that may be absent.
 try:
@@ -30,16 +35,15 @@ except ImportError:
 
 Consulta = Callable[[SparkSession, str], DataFrame]
 
-_contextos: dict[tuple[str, str], tuple[Contexto, int]] = {}
+_contextos: dict[tuple[str, str], Contexto] = {}
 
 
 def _contexto(spark: SparkSession, sf_dir: str) -> tuple[Contexto, int]:
-    """Context and stock threshold of a data folder, shared by its queries."""
+    """Context of a data folder, shared by its queries, and the stock threshold."""
     clave = (spark.sparkContext.applicationId, str(sf_dir))
     if clave not in _contextos:
-        fuente = FuenteEstrella(spark, str(sf_dir))
-        _contextos[clave] = (Contexto(fuente), fuente.umbral())
-    return _contextos[clave]
+        _contextos[clave] = Contexto(FuenteEstrella(spark, str(sf_dir)))
+    return _contextos[clave], UMBRAL
 
 
 def _comparable(df: DataFrame) -> DataFrame:
@@ -146,6 +150,18 @@ def _exportar_detalle(ctx: Contexto, u: int) -> DataFrame:
     return exportar(detalle, ctx.almacen.ruta_nueva("detalle"), particion=["fecha"])
 
 
+def _exportar_filtrado(ctx: Contexto, u: int) -> DataFrame:
+    detalle = reportes.detalle_filtrado(
+        ctx, _ventana(u), tienda=TIENDA, semanas=SEMANAS, selecciones=SELECCION_TIENDA
+    )
+    return exportar(detalle, ctx.almacen.ruta_nueva("detalle-filtrado"), particion=["fecha"])
+
+
+def _seleccion(reporte: DataFrame) -> DataFrame:
+    """The store and the sidebar's selections, as one page applies them to each report."""
+    return filtros.filtros_dinamicos(filtros.una_tienda(reporte, TIENDA), SELECCION_TIENDA)
+
+
 def _sin_calendario(ctx: Contexto, u: int) -> DataFrame:
     return reportes.ventas_por_tienda(ctx, Ventana(date(2001, 9, 30), date(2001, 11, 4), umbral=u))
 
@@ -183,9 +199,15 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "marca_efectiva": _marca_efectiva,
     "etiquetas_semana": lambda c, u: c.semanas().df,
     "filtros_dinamicos": lambda c, u: filtros.filtros_dinamicos(
-        _por_tienda(c, u), {"tipo_programa": "basico", "marca": ["M1", "M2", "M3"]}
+        _por_tienda(c, u), SELECCION
     ),
     "resumen_una_tienda": lambda c, u: filtros.una_tienda(_por_tienda(c, u), "2"),
+    "kpis_seleccion": lambda c, u: resumen.kpis_ultima_semana(
+        resumen.resumen_todas_tiendas(_seleccion(_por_tienda(c, u)))
+    ),
+    "participacion_talla_seleccion": lambda c, u: participacion.participacion_talla(
+        _seleccion(_por_talla(c, u))
+    ),
     "orden_tallas": _orden_tallas,
     "rango_fechas_defecto": lambda c, u: catalogos.rango_fechas_defecto(
         catalogos.semanas_disponibles(c), HOY
@@ -206,6 +228,9 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "etiquetas_color": lambda c, u: participacion.etiquetas_color(
         participacion.participacion_color(_por_color(c, u))
     ),
+    "etiquetas_color_tienda": lambda c, u: participacion.etiquetas_color(
+        participacion.participacion_color_tienda(_por_color(c, u)), participacion.TIENDA
+    ),
     "participacion_talla": lambda c, u: participacion.participacion_talla(_por_talla(c, u)),
     "etiquetas_talla": lambda c, u: participacion.etiquetas_talla(
         participacion.participacion_talla(_por_talla(c, u))
@@ -224,6 +249,7 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     ),
     # sink
     "exportar_detalle": _exportar_detalle,
+    "exportar_detalle_filtrado": _exportar_filtrado,
 }
 
 

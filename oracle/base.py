@@ -29,7 +29,6 @@ semanas AS (
            CAST(weekofyear(dia_inicio) AS INTEGER) AS n_sem,
            CAST(year(dia_inicio + 3) AS INTEGER) AS ano
     FROM (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS dia_inicio FROM lineitem)
-    WHERE dia_inicio < DATE '2001-10-29'
 ),
 tiendas AS (
     SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'FL' ELSE 'RP' END AS ini_cliente,
@@ -51,7 +50,7 @@ cat_sku AS (
            CASE WHEN p_size > 44 THEN 'M' ELSE CAST(p_size AS VARCHAR) END AS talla,
            p_name AS descripcion_nueva
     FROM part
-    WHERE p_partkey % 50 <> 49
+    WHERE NOT (p_type = 'MEDIUM' AND p_brand = 'Brand#9')
 ),
 monitoreo AS (
     SELECT DISTINCT p_type AS modelo,
@@ -77,17 +76,14 @@ cod_color AS (
            'COLOR' || (k % 6) AS color,
            CASE WHEN k <> 16 THEN '#0000' || lpad(CAST(k AS VARCHAR), 2, '0') END AS color_hexa
     FROM (SELECT DISTINCT p_partkey % 17 AS k FROM part)
-    WHERE k <> 15
 ),
 ecat_fala AS (
     SELECT CAST(p_partkey AS VARCHAR) AS upc, 'MAD' || (p_partkey % 100) AS sku_madre
     FROM part
-    WHERE p_partkey % 3 <> 0
+    WHERE p_type <> 'PROMO'
 )"""
 
-UMBRAL = (
-    "(SELECT CASE WHEN count(*) < 20000 THEN 30 WHEN count(*) < 200000 THEN 100 ELSE 800 END FROM lineitem)"
-)
+UMBRAL = 100
 
 ETIQUETA_A = "strftime(w.dia_fin, '%Y-%m-%d') || ' Sem ' || lpad(CAST(w.n_sem AS VARCHAR), 2, '0')"
 ETIQUETA_B = (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from vitrina.functions.tallas import ORDEN_TALLAS
-
 from .base import articulo, consulta, grupo, linea, rango
 
 INICIO, FIN, FIN_STOCK = "2001-08-05", "2001-09-09", "2001-09-03"
@@ -101,7 +99,8 @@ tono_visible AS (
     SELECT *, cant_venta + cant_stock AS total_unidades,
            (cant_venta + cant_stock) / (SELECT sum(cant_venta + cant_stock) FROM tono) * 100 AS pct
     FROM tono
-    WHERE (cant_venta + cant_stock) / (SELECT sum(cant_venta + cant_stock) FROM tono) * 100 >= 1.5
+    WHERE (SELECT sum(cant_venta + cant_stock) FROM tono) > 0
+      AND (cant_venta + cant_stock) / (SELECT sum(cant_venta + cant_stock) FROM tono) * 100 >= 1.5
 ),
 participacion AS (
     SELECT color, color_hexa, c_color, cant_venta, cant_stock, total_unidades,
@@ -113,6 +112,9 @@ participacion AS (
     FROM tono_visible
 )"""
 
+# Size order of the curve: U, months 0M to 20M, numbers 1 to 50, letters.
+ORDEN_TALLAS = ["U"] + [f"{n}M" for n in range(21)] + [str(n) for n in range(1, 51)]
+ORDEN_TALLAS += ["XXS", "SX", "S", "M", "L", "XL", "XXL"]
 TALLAS = f"orden_talla AS (SELECT unnest({list(ORDEN_TALLAS)}) AS talla, unnest(range(1, {len(ORDEN_TALLAS) + 1})) AS p)"
 
 
@@ -265,10 +267,12 @@ def consultas() -> dict[str, str]:
         R_TIENDA,
         RESUMEN,
         final="""
-        SELECT max(semanas) AS semana, CAST(sum(cant_venta) AS BIGINT) AS venta_unidades,
-               CAST(sum(cant_stock) AS BIGINT) AS stock_unidades,
-               round(sum(cant_venta) / sum(cant_venta + cant_stock) * 100, 6) AS sell_through,
-               round(sum(pvp_prom * cant_venta) / sum(cant_venta), 6) AS pvp_ponderado
+        SELECT max(semanas) AS semana, CAST(coalesce(sum(cant_venta), 0) AS BIGINT) AS venta_unidades,
+               CAST(coalesce(sum(cant_stock), 0) AS BIGINT) AS stock_unidades,
+               CASE WHEN sum(cant_venta + cant_stock) > 0
+                    THEN round(sum(cant_venta) / sum(cant_venta + cant_stock) * 100, 6) ELSE 0.0 END AS sell_through,
+               CASE WHEN sum(cant_venta) > 0
+                    THEN round(sum(pvp_prom * cant_venta) / sum(cant_venta), 6) ELSE 0.0 END AS pvp_ponderado
         FROM resumen WHERE semanas = (SELECT max(semanas) FROM resumen)""",
     )
     q["textos_kpi"] = consulta(
@@ -430,6 +434,32 @@ def consultas() -> dict[str, str]:
     )
     q["filtrar_anual"] = consulta(*_ANO, R_ANO, final="SELECT * FROM r WHERE marca = 'M4' AND tipo_programa = 'basico'")
 
+    # --- selections
+    elegida = "c_l = '68' AND tipo_programa IN ('basico', 'programa')"
+    q["kpis_seleccion"] = q["kpis_ultima_semana"].replace(R_TIENDA, R_TIENDA.replace("r AS (", "todas AS (", 1) + f",r AS (SELECT * FROM todas WHERE {elegida})")
+    q["participacion_talla_seleccion"] = q["participacion_talla"].replace(R_TALLA, R_TALLA.replace("r AS (", "todas AS (", 1) + f",r AS (SELECT * FROM todas WHERE {elegida})")
+    q["exportar_detalle_filtrado"] = consulta(
+        *_TIENDA,
+        f"detalle AS ({_DETALLE})",
+        final=f"SELECT * FROM detalle WHERE marca IS NOT NULL AND {elegida} AND fecha IN (DATE '2001-08-13', DATE '2001-08-27')",
+    )
+    q["etiquetas_color_tienda"] = f"""
+    SELECT ciudad, local, color, color_hexa, c_color, cant_venta, cant_stock,
+           pct_participacion_venta, pct_participacion_stock,
+           round(gv, 6) AS pct_participacion_venta_grupo, round(gs, 6) AS pct_participacion_stock_grupo,
+           CAST(uv AS BIGINT) AS cant_venta_grupo, CAST(us AS BIGINT) AS cant_stock_grupo,
+           abajo = 1 AS ultima,
+           CASE WHEN abajo = 1 THEN printf('%.1f%%', gv) ELSE '' END AS texto_venta,
+           CASE WHEN abajo = 1 THEN printf('%.1f%%', gs) ELSE '' END AS texto_stock,
+           round(gv + gs, 6) AS pct_orden
+    FROM (
+        SELECT *, sum(pct_participacion_venta) OVER n AS gv, sum(pct_participacion_stock) OVER n AS gs,
+               sum(cant_venta) OVER n AS uv, sum(cant_stock) OVER n AS us,
+               row_number() OVER (PARTITION BY ciudad, local, color ORDER BY color_hexa DESC, c_color DESC) AS abajo
+        FROM ({q["participacion_color_tienda"].replace(", 6) AS pct", ", 12) AS pct")})
+        WINDOW n AS (PARTITION BY ciudad, local, color)
+    )""".replace("pct_participacion_venta, pct_participacion_stock,\n           round(gv", "round(pct_participacion_venta, 6) AS pct_participacion_venta, round(pct_participacion_stock, 6) AS pct_participacion_stock,\n           round(gv")
+
     # --- sink
     q["exportar_detalle"] = consulta(
         *_TIENDA, f"detalle AS ({_DETALLE})", final="SELECT * FROM detalle WHERE marca IS NOT NULL"

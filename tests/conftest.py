@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 RAIZ = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(RAIZ))
 
-DATOS = Path("/root/testdata/sf0.001")
+DATOS = Path("/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")

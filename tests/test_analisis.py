@@ -6,6 +6,7 @@ import pytest
 from apoyo import filas, normal
 from pyspark.sql import functions as F
 
+from vitrina.functions.expresiones import texto_pct
 from vitrina.functions.tallas import ORDEN_TALLAS
 from vitrina.operators import filtros
 from vitrina.plans import anual, catalogos, participacion, resumen
@@ -320,3 +321,40 @@ def test_comparacion_de_filas(spark):
     df = spark.createDataFrame([(2, None), (1, "a")], "b int, a string")
     assert filas(df) == sorted([(None, 2.0), ("a", 1.0)], key=repr)
     assert normal(float("nan")) is None
+
+
+def test_participacion_color_con_total_negativo(spark):
+    """Shares of a total that is not above zero are 0, so no shade passes the cut."""
+    filas_ = [("ROJO", "#1", "001", -50, -10), ("AZUL", "#2", "002", -30, -10)]
+    df = spark.createDataFrame(filas_, "color string, color_hexa string, c_color string, cant_venta bigint, cant_stock bigint")
+    assert participacion.participacion_color(df).count() == 0
+    todas = dicts(participacion.participacion_color(df, 0))
+    assert [f["pct_participacion_total"] for f in todas] == [0.0, 0.0]
+
+
+def test_texto_pct(spark):
+    """Texts round the exact binary value to the even neighbour, as printf does."""
+    valores = [0.35, 0.25, 0.15, 2.675, 1.45, 8.35, 0.0, 100.0, None]
+    df = spark.createDataFrame([(v,) for v in valores], "v double").select(texto_pct(F.col("v")).alias("t"))
+    esperados = [None if v is None else f"{v:.1f}%" for v in valores]
+    assert [f["t"] for f in dicts(df)] == esperados
+
+
+def test_etiquetas_color_por_tienda(spark):
+    """Each store's last shade of a name, by hex and code, carries that store's total."""
+    esquema = "ciudad string, local string, color string, color_hexa string, c_color string, cant_venta bigint, cant_stock bigint, "
+    esquema += "pct_participacion_venta double, pct_participacion_stock double"
+    datos = [
+        ("C", "L1", "ROJO", "#1", "001", 4, 1, 40.0, 10.0),
+        ("C", "L1", "ROJO", "#1", "002", 1, 2, 10.0, 20.0),
+        ("C", "L1", "AZUL", "#0", "009", 5, 7, 50.0, 70.0),
+        ("C", "L2", "ROJO", "#1", "001", 3, 3, 100.0, 100.0),
+    ]
+    df = participacion.etiquetas_color(spark.createDataFrame(datos, esquema), participacion.TIENDA)
+    textos = {(f["local"], f["color"], f["c_color"]): (f["texto_venta"], f["texto_stock"]) for f in dicts(df)}
+    assert textos == {
+        ("L1", "ROJO", "001"): ("", ""),
+        ("L1", "ROJO", "002"): ("50.0%", "30.0%"),
+        ("L1", "AZUL", "009"): ("50.0%", "70.0%"),
+        ("L2", "ROJO", "001"): ("100.0%", "100.0%"),
+    }

@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 import time
+from pathlib import Path
 
 import pytest
 from apoyo import FuenteMemoria, filas
@@ -17,7 +18,7 @@ from vitrina.sources import Almacen, FuenteEstrella, FuenteTablas
 from vitrina.sources import almacen as modulo_almacen
 from vitrina.sources.tablas import escribir_hechos, opciones_jdbc
 
-P = Ventana(dt.date(2001, 8, 5), dt.date(2001, 9, 9), umbral=30)
+P = Ventana(dt.date(2001, 8, 5), dt.date(2001, 9, 9), umbral=100)
 
 
 @pytest.fixture(scope="module")
@@ -45,10 +46,6 @@ def test_esquemas_de_la_estrella(estrella):
         assert [(c.name, c.dataType) for c in tabla] == [(c.name, c.dataType) for c in esquema], nombre
 
 
-def test_umbral(estrella):
-    assert estrella.umbral() == 30
-
-
 def test_parquet_particionado(spark, carpeta, estrella):
     fuente = FuenteTablas.parquet(spark, carpeta)
     df = reportes.ventas_por_tienda(Contexto(fuente), P)
@@ -122,19 +119,18 @@ class _Sesion:
 
 
 def test_sin_carpeta():
-    assert modulo_almacen.carpeta_compartida(_Sesion(spark_master="yarn")) is None
-    local = _Sesion(spark_master="local[2]", spark_app_id="prueba-local")
-    assert modulo_almacen.carpeta_compartida(local) == modulo_almacen.carpeta_compartida(local)
+    """Without the setting tables go below the warehouse, whatever the master."""
+    for master in ("yarn", "local[2]"):
+        sesion = _Sesion(spark_master=master, spark_sql_warehouse_dir="file:/almacen/")
+        assert modulo_almacen.carpeta_compartida(sesion) == "file:/almacen/_vitrina"
 
 
-def test_cluster_sin_carpeta_sigue_sin_difundir(spark, estrella, monkeypatch):
-    monkeypatch.setattr(modulo_almacen, "carpeta_compartida", lambda s: None)
-    ctx = Contexto(estrella)
-    df = reportes.ventas_por_tienda(ctx, P)
-    assert not ctx.articulos("FL").difundible
-    assert filas(df) == filas(reportes.ventas_por_tienda(Contexto(estrella, limite_difusion=0), P))
-    with pytest.raises(ValueError):
-        ctx.almacen.ruta_nueva("x")
+def test_cerrar_borra_solo_lo_propio(spark, estrella):
+    uno, otro = Contexto(estrella), Contexto(estrella)
+    propio, ajeno = (c.tiendas("FL").df.inputFiles()[0].removeprefix("file:").replace("///", "/") for c in (uno, otro))
+    uno.cerrar()
+    assert not Path(propio).exists() and Path(ajeno).exists()
+    assert uno.tiendas("FL").df.count() == otro.tiendas("FL").df.count() > 0
 
 
 def test_tabla_vacia_es_difundible(spark):
@@ -224,6 +220,8 @@ def test_parametros_por_nombre():
         "stock_threshold": 500,
         "semanas_stock": 8,
     }
+    with pytest.raises(ValueError, match="stock_treshold"):
+        Ventana.desde_dict({**valores, "stock_treshold": 500})
     p = Ventana.desde_dict(valores)
     assert (p.cliente, p.umbral, p.rango_ventas) == ("RP", 500, (dt.date(2026, 2, 1), dt.date(2026, 3, 8)))
     assert VentanaAnual.desde_dict(valores).semanas_stock == 8
@@ -231,4 +229,4 @@ def test_parametros_por_nombre():
 
 
 def test_contexto_compartido(spark, datos):
-    assert contrato._contexto(spark, datos) is contrato._contexto(spark, datos)
+    assert contrato._contexto(spark, datos)[0] is contrato._contexto(spark, datos)[0]

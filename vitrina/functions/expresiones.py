@@ -22,7 +22,8 @@ def lunes(fecha: Column) -> Column:
 
 def en_rangos(fecha: str, rangos: Iterable[Rango]) -> str:
     """SQL condition: ``fecha`` inside any of the inclusive date ranges."""
-    return " or ".join(f"{fecha} between date'{desde}' and date'{hasta}'" for desde, hasta in rangos)
+    partes = [f"{fecha} between date'{desde}' and date'{hasta}'" for desde, hasta in rangos]
+    return " or ".join(partes) or "false"
 
 
 def corte_semanal(fecha: Column) -> Column:
@@ -67,7 +68,8 @@ def sin_prefijo(ciudad: Column) -> Column:
 
 
 def texto_pct(valor: Column) -> Column:
-    return F.format_string("%.1f%%", F.bround(valor, 1))
+    """One decimal, rounded from the exact binary value; null for null."""
+    return F.concat(F.call_function("format_number", valor, F.lit("0.0")), F.lit("%"))
 
 
 # --- prices ------------------------------------------------------------------

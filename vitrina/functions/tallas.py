@@ -8,15 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The size order of the curve, first to last.
-ORDEN_TALLAS: tuple[str, ...] = tuple(
-    """
-    U
-    0M 1M 2M 3M 4M 5M 6M 7M 8M 9M 10M 11M 12M 13M 14M 15M 16M 17M 18M 19M 20M
-    1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25
-    26 27 28 29 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48 49 50
-    XXS SX S M L XL XXL
-    """.split()
-)
+ORDEN_TALLAS: tuple[str, ...] = (
+    "U",
+    *(f"{n}M" for n in range(21)),
+    *(str(n) for n in range(1, 51)),
+    "XXS", "SX", "S", "M", "L", "XL", "XXL",
+)
 
 
 def posicion_talla(talla: Column, orden: Sequence[str] = ORDEN_TALLAS) -> Column:

@@ -3,7 +3,7 @@ scans prune statically instead of joining with a parameter table."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from datetime import date, timedelta
 from typing import Any
@@ -27,6 +27,17 @@ def sabado_de_corte(dia: date) -> date:
     return lunes_de(dia) - timedelta(days=2)
 
 
+def lunes_de_etiqueta(semana: str) -> date:
+    """Monday of a week label such as ``2001-09-09 Sem 36``, which begins with its Sunday."""
+    return date.fromisoformat(semana[:10]) - timedelta(days=6)
+
+
+def en_semanas(rango: Rango, lunes: Sequence[date]) -> list[Rango]:
+    """The part of each of these weeks that lies in the range."""
+    semanas = ((max(rango[0], d), min(rango[1], d + timedelta(days=6))) for d in sorted(set(lunes)))
+    return [(desde, hasta) for desde, hasta in semanas if desde <= hasta]
+
+
 def un_ano_antes(dia: date) -> date:
     """Same calendar day one year before; 29 February falls back to the 28th."""
     try:
@@ -38,8 +49,11 @@ def un_ano_antes(dia: date) -> date:
 class _DesdeDict:
     @classmethod
     def desde_dict(cls, valores: Mapping[str, Any]):
-        """Build from named query parameters; unknown names are ignored so one
-        mapping can serve several reports."""
+        """Build from named query parameters. Names of other reports are passed
+        over so one mapping can serve several; a name no report knows is an error."""
+        conocidos = {n for c in _DesdeDict.__subclasses__() for n in (*c.ALIAS, *(f.name for f in fields(c)))}
+        if ajenos := set(valores) - conocidos:
+            raise ValueError(f"unknown parameters: {', '.join(sorted(ajenos))}")
         nombres = {f.name for f in fields(cls)}
         propios = {cls.ALIAS.get(k, k): v for k, v in valores.items()}
         return cls(**{k: v for k, v in propios.items() if k in nombres})

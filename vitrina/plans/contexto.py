@@ -75,7 +75,7 @@ class Contexto:
         if color:
             return self.una_vez(
                 ("articulos_color", cliente),
-                lambda: con_color(self._articulos(cliente), self.tabla("cod_color").lado()),
+                lambda: con_color(self.articulos(cliente).df, self.tabla("cod_color").lado()),
             )
         return self.una_vez(("articulos", cliente), lambda: self._articulos(cliente))
 
@@ -159,7 +159,13 @@ class Contexto:
                 self.semanas,
             ]
         )
-        self._a_la_vez([lambda n=n: self.articulos(cliente, n == "articulos_color") for n in articulos])
+        for nombre in articulos:
+            self.articulos(cliente, nombre == "articulos_color")
+
+    def cerrar(self) -> None:
+        """Delete the tables that were written; frames that read them are void."""
+        self._guardadas.clear()
+        self.almacen.borrar()
 
     def _a_la_vez(self, tareas: Sequence[Callable[[], T]]) -> list[T]:
         con_sesion = inheritable_thread_target(self.spark)

@@ -33,8 +33,12 @@ def _totales(df: DataFrame) -> Column:
     ).scalar()
 
 
-def _con_participacion_total(df: DataFrame, si_cero: float | None = None) -> DataFrame:
-    total = df.agg(F.sum(F.col("cant_venta") + F.col("cant_stock"))).scalar()
+def _con_participacion_total(df: DataFrame, *, solo_positivo: bool = False) -> DataFrame:
+    """Share of all units. With ``solo_positivo`` it is 0 unless the total is
+    above zero, otherwise null where the total is zero."""
+    suma = F.sum(F.col("cant_venta") + F.col("cant_stock"))
+    si_cero = 0.0 if solo_positivo else None
+    total = df.agg(F.when(suma > 0, suma) if solo_positivo else suma).scalar()
     return df.withColumn("total_unidades", F.col("cant_venta") + F.col("cant_stock")).withColumn(
         "pct_participacion_total", porcentaje(F.col("total_unidades"), total, si_cero)
     )
@@ -61,7 +65,7 @@ def participacion_color(por_color: DataFrame, min_pct: float = CORTE_COLOR) -> D
     """Shades with at least ``min_pct`` of all units, and their share of the
     sales and stock of the shades that pass."""
     colores = _sumar(por_color.dropna(subset=list(CLAVES_COLOR)), *CLAVES_COLOR)
-    relevantes = _con_participacion_total(colores, 0.0).where(F.col("pct_participacion_total") >= min_pct)
+    relevantes = _con_participacion_total(colores, solo_positivo=True).where(F.col("pct_participacion_total") >= min_pct)
     return _con_participaciones(relevantes).orderBy(
         F.col("pct_participacion_total").desc(), F.col("pct_participacion_venta").desc()
     )
@@ -90,17 +94,16 @@ def participacion_color_tienda(por_color: DataFrame, min_pct: float = CORTE_COLO
     ).select(*TIENDA, *CLAVES_COLOR, "cant_venta", "cant_stock", "pct_participacion_venta", "pct_participacion_stock")
 
 
-def etiquetas_color(participacion: DataFrame) -> DataFrame:
+def etiquetas_color(participacion: DataFrame, grupo: Sequence[str] = ()) -> DataFrame:
     """Totals of the colour name on each of its shades, and label texts on the
-    last shade of the name in display order (share descending, then sale share
-    descending, then colour code)."""
-    nombre = Window.partitionBy("color")
-    desde_abajo = nombre.orderBy(
-        F.col("pct_participacion_total"),
-        F.col("pct_participacion_venta"),
-        F.col("c_color").desc(),
-        F.col("color_hexa").desc(),
-    )
+    last shade of the name in display order. Overall that is share descending,
+    then sale share descending, then colour code; within the charts that
+    ``grupo`` names (``TIENDA``: one per store) colour, hex and code."""
+    nombre = Window.partitionBy(*grupo, "color")
+    al_final = (F.col("color_hexa").desc(), F.col("c_color").desc())
+    if not grupo:
+        al_final = (F.col("pct_participacion_total"), F.col("pct_participacion_venta"), *reversed(al_final))
+    desde_abajo = nombre.orderBy(*al_final)
     medidas = ("pct_participacion_venta", "pct_participacion_stock", "cant_venta", "cant_stock")
     total = {f"{m}_grupo": F.sum(m).over(nombre) for m in medidas}
     ultima = F.row_number().over(desde_abajo) == 1
@@ -114,7 +117,7 @@ def etiquetas_color(participacion: DataFrame) -> DataFrame:
             }
         )
         .withColumn("pct_orden", F.col("pct_participacion_venta_grupo") + F.col("pct_participacion_stock_grupo"))
-        .orderBy("pct_orden", "color")
+        .orderBy(*grupo, "pct_orden", "color")
     )
 
 

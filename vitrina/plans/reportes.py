@@ -21,9 +21,10 @@ from ..functions.expresiones import (
     precio_o_cero,
     sin_prefijo,
 )
+from ..operators.filtros import Seleccion, filtros_dinamicos
 from ..operators.grupos import CLAVES, con_grupos, grupos_validos
 from ..operators.hechos import MEDIDAS, consolidar, movimientos_stock, por_semana, unir_movimientos
-from ..params import Rango, Ventana, VentanaAnual, VentanaReciente
+from ..params import Rango, Ventana, VentanaAnual, VentanaReciente, en_semanas, lunes_de_etiqueta
 from ..sources.almacen import Medida
 from .contexto import COLUMNAS_ARTICULO, COLUMNAS_COLOR, Contexto
 
@@ -150,8 +151,20 @@ def _unidades() -> list[Column]:
     return [F.sum("cant_venta").alias("cant_venta"), F.sum("cant_stock").alias("cant_stock")]
 
 
-def _base_ventana(ctx: Contexto, p: Ventana, solo_validas: bool, **opciones) -> DataFrame:
-    movs = por_semana(movimientos(ctx, p.cliente, [p.rango_ventas], [p.rango_stock]))
+def _base_ventana(
+    ctx: Contexto,
+    p: Ventana,
+    solo_validas: bool,
+    *,
+    tienda: str | None = None,
+    semanas: Sequence[date] | None = None,
+    **opciones,
+) -> DataFrame:
+    """``tienda`` and the Mondays in ``semanas`` limit the facts that are read."""
+    rangos = [[r] if semanas is None else en_semanas(r, semanas) for r in (p.rango_ventas, p.rango_stock)]
+    movs = por_semana(movimientos(ctx, p.cliente, *rangos))
+    if tienda is not None:
+        movs = movs.where(F.col("num_local") == tienda)
     return _base(ctx, p.cliente, movs, p.fecha_fin, p.umbral, how=_como(solo_validas), **opciones)
 
 
@@ -229,7 +242,30 @@ def ventas_por_talla(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -
 # --- item grain -------------------------------------------------------------------------
 
 
-def ventas_stock_detalle(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -> DataFrame:
+def detalle_filtrado(
+    ctx: Contexto,
+    p: Ventana,
+    *,
+    tienda: str | None = None,
+    semanas: Sequence[str] | None = None,
+    selecciones: Seleccion | None = None,
+) -> DataFrame:
+    """Detail of valid groups for one store and the user's selections. Weeks
+    are chosen by the label of the other pages; store and weeks limit what is
+    read of the facts, the rest is selected on the finished rows."""
+    elegidas = None if semanas is None else [lunes_de_etiqueta(s) for s in semanas]
+    detalle = ventas_stock_detalle(ctx, p, solo_validas=True, tienda=tienda, semanas=elegidas)
+    return filtros_dinamicos(detalle, selecciones or {})
+
+
+def ventas_stock_detalle(
+    ctx: Contexto,
+    p: Ventana,
+    *,
+    solo_validas: bool = False,
+    tienda: str | None = None,
+    semanas: Sequence[date] | None = None,
+) -> DataFrame:
     """Store x item x week detail for export, over locations of any type.
 
     The aggregation after the joins keeps store, item and week among its keys,
@@ -242,6 +278,8 @@ def ventas_stock_detalle(ctx: Contexto, p: Ventana, *, solo_validas: bool = Fals
         columnas=[c for c in (*COLUMNAS_ARTICULO, *COLUMNAS_COLOR) if c not in ATRIBUTOS],
         solo_tiendas=False,
         por_articulo=True,
+        tienda=tienda,
+        semanas=semanas,
     )
     sku_madre = ctx.sku_madre()
     base = base.join(sku_madre.lado(), "ean", "left")

@@ -7,7 +7,6 @@ its side may be broadcast.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
@@ -19,21 +18,11 @@ from pyspark.sql import types as T
 LIMITE_DIFUSION = 64 * 1024 * 1024
 BYTES_POR_CAMPO = 16  # slot and padding of a field in memory, besides its text
 
-_locales: dict[str, str] = {}
 
-
-def carpeta_compartida(spark: SparkSession) -> str | None:
-    """``spark.checkpoint.dir`` of the session. Only a local session that does
-    not set it gets a temporary folder; on a cluster the answer is None."""
+def carpeta_compartida(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, else a folder below its warehouse."""
     carpeta = spark.conf.get("spark.checkpoint.dir", None)
-    if carpeta:
-        return carpeta
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        return None
-    clave = spark.conf.get("spark.app.id", "")
-    if clave not in _locales:
-        _locales[clave] = tempfile.mkdtemp(prefix="vitrina-")
-    return _locales[clave]
+    return carpeta or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_vitrina"
 
 
 @dataclass(frozen=True)
@@ -70,13 +59,9 @@ class Almacen:
     def __init__(self, spark: SparkSession, limite: int = LIMITE_DIFUSION):
         self.spark = spark
         self.limite = limite
-        base = carpeta_compartida(spark)
-        self.raiz = base and f"{base}/vitrina-{uuid.uuid4().hex}"
+        self.raiz = f"{carpeta_compartida(spark)}/vitrina-{uuid.uuid4().hex}"
 
     def guardar(self, nombre: str, df: DataFrame, *, medir: bool = True) -> Medida:
-        """Without a shared folder the table stays lazy and unmeasured."""
-        if self.raiz is None:
-            return Medida(df, limite=self.limite)
         ruta = self.ruta_nueva(nombre)
         escrito = self.spark.read.schema(df.schema)
         if not medir:
@@ -97,7 +82,10 @@ class Almacen:
         return Medida(escrito.parquet(ruta), filas, bytes_, self.limite)
 
     def ruta_nueva(self, nombre: str) -> str:
-        if self.raiz is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return f"{self.raiz}/{nombre}-{uuid.uuid4().hex}"
 
+    def borrar(self) -> None:
+        """Delete every table of this store."""
+        ruta = self.spark._jvm.org.apache.hadoop.fs.Path(self.raiz)
+        ruta.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(ruta, True)
+
