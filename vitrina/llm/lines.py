@@ -16,8 +16,9 @@ stays: the one in the document with the least id, there the first in line order.
 * Verification: exact Jaccard of the sets, first of every class with a few hubs of
   its buckets, in turn. In buckets that still hold several components, lines are then
   compared across components, but only those that share one of their rarest
-  shingles: two sets over the threshold share one among the rarest 15 % of each
-  (prefix filtering), so this loses no link and needs no cap. Pairs whose
+  shingles: two sets over the threshold share one among the rarest 15 % of each,
+  ranked high enough in both to leave room for the overlap (prefix and position
+  filtering), so this loses no link and needs no cap. Pairs whose
   estimate from two bits of each minimum is below 40 %, over 5 standard errors
   under the threshold, are left out before.
 
@@ -43,7 +44,7 @@ BANDS, ROWS = 10, 4
 #: Lanes of two bits in which the minima of a pair over the threshold may differ at most.
 DIFFERING = 18
 #: Hubs that each bucket tries, as long as it holds several components.
-TURNS = 3
+TURNS = 2
 
 #: Characters of a shingle from the start of a word, and from any place.
 FROM_WORD, ANYWHERE = 12, 9
@@ -60,8 +61,10 @@ def _masks() -> list[int]:
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, version, line_no, line and id (a 128-bit name) of each line with a word."""
+    # The hash is taken before the text is cut, so once for each text.
+    whole = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     return (
-        docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+        whole.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.col("line").rlike(_WORD))
         .withColumn("id", F.unhex(F.md5("line")))
     )
@@ -125,32 +128,42 @@ def _to_hubs(mixed: DataFrame, turn: int) -> DataFrame:
     return apart.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
-def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(work: Workspace, mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles."""
-    open_ = mixed.select("id", "component").distinct().join(sets, "id")
-    shingles = open_.select("id", "component", "low_0", "low_1", F.explode("shingles").alias("h"))
-    number = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("lines"))
+    open_ = mixed.select("id", "component").distinct()
+    shingles = sets.join(open_, "id", "left_semi").select("id", F.explode("shingles").alias("h"))
+    number = work.write(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1"), "counts")
     ranked = (
-        shingles.join(number, "h")
-        .groupBy("id", "component", "low_0", "low_1")
-        .agg(F.sort_array(F.collect_list(F.struct("lines", "h"))).alias("ranked"))
+        shingles.join(number, "h", "left")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("lines", F.lit(1)).alias("lines"), "h"))).alias("ranked"))
     )
     n = F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * SHARED_PERCENT / 100).cast("int") + 1)
-    rare = ranked.select("id", "component", "low_0", "low_1", n.alias("n"), F.explode(F.transform(prefix, lambda x: x["h"])).alias("h"))
-    several = rare.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("h")
-    rare = rare.join(several, "h")
-    other = rare.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "component", "n", "low_0", "low_1")])
+    # A shingle of one line only brings no line together.
+    placed = F.transform(prefix, lambda x, i: F.struct(x["h"].alias("h"), i.alias("rank"), x["lines"].alias("lines")))
+    common = F.filter(placed, lambda x: x["lines"] > 1)
+    rare = work.write(ranked.select("id", n.alias("n"), common.alias("rare")), "rare")
+    placed = rare.where("size(rare) > 0").join(open_, "id").join(sets.select("id", "low_0", "low_1"), "id")
+    placed = placed.select("id", "component", "n", "low_0", "low_1", F.inline("rare")).drop("lines")
+    several = placed.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("h")
+    placed = work.write(placed.join(several, "h"), "placed")
+    other = placed.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "component", "n", "rank", "low_0", "low_1")])
+    # What ranks before the rarest common shingle is not shared, so it bounds the rest.
+    most = F.least(F.col("n") - F.col("rank"), F.col("b_n") - F.col("b_rank"))
     fits = (
         (F.col("id") < F.col("b_id"))
         & (F.col("component") != F.col("b_component"))
-        & (F.least("n", "b_n") * 100 >= F.greatest("n", "b_n") * SHARED_PERCENT)
+        & (most * (100 + SHARED_PERCENT) >= (F.col("n") + F.col("b_n")) * SHARED_PERCENT)
         & (_differing("low_0", "b_low_0") + _differing("low_1", "b_low_1") <= DIFFERING)
     )
-    return rare.join(other, "h").where(fits).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
+    pairs = work.write(placed.join(other, "h").where(fits).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
+    work.drop(number, rare, placed)
+    return pairs
 
 
 def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members with their component, of the buckets that hold more than one."""
     labelled = members.join(parts, F.col("id") == F.col("node"), "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("component")
     )
@@ -159,26 +172,31 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, version (hash of the text) and line_no (from 0) of every line to remove."""
+    """doc, version (hash of the text) and gone: the numbers, from 0, of its lines to remove."""
     work = Workspace(docs.sparkSession, "lines")
     lines = _lines(docs, key, text)
     classes = work.write(_classes(lines), "classes")
-    spread = classes.select("id", "low_0", "low_1", F.explode("bands").alias("bucket"))
+    spread = classes.select("id", F.explode("bands").alias("bucket"))
     shared = work.write(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
-    members = work.write(spread.join(shared, "bucket").distinct(), "members")
-    wanted = members.select("id", "low_0", "low_1").distinct()
+    members = work.write(spread.join(shared, "bucket"), "members")
+    work.drop(shared)
+    wanted = classes.select("id", "low_0", "low_1").join(members.select("id"), "id", "left_semi")
     texts = lines.select("id", "line").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
     sets = _hashed(texts).groupBy("id").agg(F.collect_set("h").alias("shingles"))
     sets = work.write(sets.join(wanted, "id"), "sets")
 
-    mixed = members.select("bucket", "id", F.col("id").alias("component"))
+    mixed = work.write(members.select("bucket", "id", F.col("id").alias("component")), "mixed")
+    work.drop(members)
     links = None
     for turn in range(TURNS):
         found = _confirmed(_to_hubs(mixed, turn), sets)
         links = work.write(found if links is None else links.unionByName(found), "links")
         parts = components(work, links)
-        mixed = work.write(_mixed(members, parts), "mixed")
-    pairs = work.write(_across(mixed, sets), "pairs")
+        # Buckets that hold one component are done with.
+        still = work.write(_mixed(mixed.select("bucket", "id"), parts), "mixed")
+        work.drop(mixed)
+        mixed = still
+    pairs = _across(work, mixed, sets)
     links = work.write(links.unionByName(_confirmed(pairs, sets)), "links")
     parts = components(work, links)
 
@@ -189,25 +207,19 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     owners = repeated.groupBy("component").agg(F.min("first_doc").alias("owner"))
     owned = work.write(repeated.join(owners, "component").select("id", "component", "owner"), "owned")
 
-    found = lines.select("doc", "version", "line_no", "id").join(owned, "id")
-    elsewhere = found.where("not (doc <=> owner)").select("doc", "version", "line_no")
+    found = lines.select("doc", "version", "line_no", "id").join(owned, "id").drop("id").distinct()
     order = W.partitionBy("doc", "component").orderBy("version", "line_no")
-    within = (
-        found.where("doc <=> owner")
-        .select("doc", "version", "line_no", "component")
-        .distinct()
-        .withColumn("n", F.row_number().over(order))
-        .where("n > 1")
-        .select("doc", "version", "line_no")
-    )
-    return elsewhere.unionByName(within)
+    later = found.withColumn("n", F.row_number().over(order)).where("n > 1 or not (doc <=> owner)")
+    removed = work.write(later.groupBy("doc", "version").agg(F.collect_list("line_no").alias("gone")), "removed")
+    work.drop(owned, classes, sets, mixed, pairs, links)
+    return removed
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of docs with the lines that stay in its text column, and with
     `n_lines` (lines with a word) and `n_removed` in the place of columns of
     those names."""
-    removed = removed_lines(docs, key, text).groupBy("doc", "version").agg(F.collect_set("line_no").alias("gone"))
+    removed = removed_lines(docs, key, text)
     renamed = removed.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*kept_columns).join(
