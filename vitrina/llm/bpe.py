@@ -182,19 +182,22 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, keys: list[str] | Non
     return encoded.select(*keys, "ids").mapInArrow(run, f"{types}, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks: bytes, pattern: str, keys: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Per row: its keys, `n_tokens`, `ids`, `ids_sha256` and `decoded_sha256`
-    (texts are encoded and their ids decoded in one pass)."""
+def round_trip(
+    docs: DataFrame, ranks: bytes, pattern: str, keys: list[str] | None = None, text: str = "text", with_ids: bool = True
+) -> DataFrame:
+    """Per row: its keys, `n_tokens`, `ids` (unless not asked for), `ids_sha256` and
+    `decoded_sha256` (texts are encoded and their ids decoded in one pass)."""
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
         table = _merges(ranks, pattern)
         ids = table.encode(texts)
+        shown = {"ids": pa.array(ids, pa.binary())} if with_ids else {}
         return {
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-            "ids": pa.array(ids, pa.binary()),
+            **shown,
             "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(table.decode(x)).hexdigest() for x in ids], pa.string()),
         }
 
-    schema = "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
+    schema = f"n_tokens long, {'ids binary, ' * with_ids}ids_sha256 string, decoded_sha256 string"
     return _over_texts(docs, text, keys or ["doc_id"], work, schema)

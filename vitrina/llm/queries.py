@@ -65,7 +65,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
