@@ -247,6 +247,19 @@ def test_edited_items_are_found_and_others_are_not(spark, monkeypatch, block):
     assert left == set(range(300)) - {d for d, _ in planted}
 
 
+@pytest.mark.parametrize("copies", [5, 25, 1000])
+@pytest.mark.parametrize("every", [4, 7])
+def test_one_edited_copy_is_found_however_often_it_stands(spark, copies, every):
+    """The same edit in each copy, next to one intact copy."""
+    item = [f"w{i}" for i in range(40)]
+    copy = [f"x{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+    texts = [f"a{d} b{d} " + " ".join(copy) + f" c{d}" for d in range(copies)] + [" ".join(item)]
+    texts += [f"w0 w1 w2 d{i}" for i in range(2000)]  # common speech
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    assert {r.doc_id for r in decontamination.contaminated(docs, bench).collect()} == set(range(copies + 1))
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a text without id that has"), (2, ""), (3, None)], "item_id int, text string")
     assert [(r.doc_id, r.item_id) for r in decontamination.contaminated(odd, bench).collect()] == [(None, 1)]

@@ -1,14 +1,16 @@
 """Operator 1: benchmark decontamination by rare n-gram seeds and alignment.
 
 Words are runs of letters and digits in lower case, so case and punctuation do
-not matter. Every three neighbouring words of a test item are a seed, unless
-they are common speech: found in more documents than 20 times the lower
-quartile of the item's seeds (the counts are over all documents; a passage
-copied everywhere raises the whole item and loses no seed). A seed that occurs
-in a document places the item there; the words around it are aligned to the
-item by Smith-Waterman, a match counting 1, a replaced, missing or added word
--0.5. The best score over the item's length is the result: 1 for a copy, about
-1 - 1.5 p if a share p of the words was replaced.
+not matter. Every three neighbouring words of a test item are a seed. A rare
+seed that occurs in a document places the item there. Common speech, seeds found
+in more than a thousandth of all documents and in more than 20 times the lower
+quartile of those of the item's seeds that occur at all, places an item only
+together: two seeds from different places of the item in one stretch. No seed is
+dropped, so a copy is found in any number of documents, edited or not, unless a
+single seed of it is intact and this one is common. The words around the seeds
+are aligned to the item by Smith-Waterman, a match counting 1, a replaced,
+missing or added word -0.5. The best score over the item's length is the result:
+1 for a copy, about 1 - 1.5 p if a share p of the words was replaced.
 
 The benchmark is a stated query set. It is worked off in blocks of at most
 `BLOCK_SEEDS` seeds, so what is sent to the tasks is bounded; documents are
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from vitrina.llm.texts import Spans, Texts, blocks, constants, runs_of, within
 
 SEED_WORDS, LEAST_WORDS, WHOLE_BELOW = 3, 5, 8
-COMMON = 20
+COMMON, COMMON_SHARE = 20, 0.001
 THRESHOLD = 0.5
 MISS = 0.5
 BLOCK_SEEDS = 1_000_000
@@ -78,27 +80,27 @@ class Items:
         self.seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         self.item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]).astype(np.int64)
         self.place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, np.int64)
-        self._sort()
-
-    def _sort(self) -> None:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
         self.distinct = np.unique(self.seed)
+        #: Seeds that place their item alone.
+        self.rare = np.ones(len(self.seed), bool)
 
-    def keep_rare(self, documents: dict[int, int]) -> None:
-        """Drop the seeds that are common speech, given each seed's count of documents."""
+    def mark_common(self, documents: dict[int, int], total: int) -> None:
+        """Tell rare seeds from common speech, given each seed's count of documents and that of all."""
         if not len(self.seed):
             return
         count = np.array([documents.get(int(s), 0) for s in self.seed.view(np.int64)], float)
         order = np.lexsort((count, self.item))
+        order = order[count[order] > 0]
         sorted_item = self.item[order]
         each = np.arange(len(self.words))
         first, last = np.searchsorted(sorted_item, each), np.searchsorted(sorted_item, each, "right")
-        quartile = count[order[np.minimum(first + (last - first) // 4, max(len(order) - 1, 0))]]
-        limit = COMMON * (1 + quartile)
-        rare = count <= limit[self.item]
-        self.seed, self.item, self.place = self.seed[rare], self.item[rare], self.place[rare]
-        self._sort()
+        quartile = np.zeros(len(each))
+        held = last > first
+        quartile[held] = count[order[(first + (last - first) // 4)[held]]]
+        limit = np.maximum(COMMON * (1 + quartile), COMMON_SHARE * total)
+        self.rare = count <= limit[self.item]
 
     def met(self, hashes: np.ndarray, ok: np.ndarray) -> np.ndarray:
         """Where in a block of texts a seed begins."""
@@ -117,13 +119,15 @@ class Items:
         index = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         item, start = self.item[index], np.repeat(met, times) - self.place[index]
         order = np.lexsort((start, item))
-        item, start = item[order], start[order]
+        item, start, place, rare = item[order], start[order], self.place[index][order], self.rare[index][order]
         sizes = np.array([len(w) for w in self.words])
         # One stretch for hits of an item whose places in the text are near each other.
         new = np.ones(len(item), bool)
         new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > sizes[item[1:]])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(item)) - 1
+        told = np.logical_or.reduceat(rare, first) | (np.minimum.reduceat(place, first) < np.maximum.reduceat(place, first))
+        first, last = first[told], last[told]
         best: dict[int, tuple[float, int, int]] = {}
         for k, begin, end in zip(item[first], start[first], start[last], strict=True):
             words = self.words[k]
@@ -184,7 +188,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         owner = np.searchsorted(words.bounds, met, side="right") - 1
         once = np.unique(np.column_stack([hashes[met].view(np.int64), owner]), axis=0)[:, 0] if len(met) else np.zeros(0, np.int64)
         seeds, documents = np.unique(once, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(documents, pa.int64())], ["seed", "documents"])
+        # The row without seed counts all documents.
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*seeds.tolist(), None], pa.int64()), pa.array([*documents.tolist(), part.num_rows], pa.int64())], ["seed", "documents"]
+        )
 
     def search(block: Items, part, words, names, hashes, met) -> pa.RecordBatch:
         rows: list[tuple] = []
@@ -210,9 +217,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     schema = f"`{key}` {key_kind}, `{item}` {'long' if item_arrow == pa.int64() else 'string'}, score double, first_word long, last_word long"
     for block in item_blocks(benchmark, item, item_text):
         counted = _over_seeds(docs, text, context.broadcast(block), count, [], "seed long, documents long")
-        # At most one row for each seed of the block.
+        # At most one row for each seed of the block, and one for all documents.
         totals = counted.groupBy("seed").agg(F.sum("documents").alias("documents")).toArrow()
-        block.keep_rare(dict(zip(totals.column("seed").to_pylist(), totals.column("documents").to_pylist(), strict=True)))
+        documents = dict(zip(totals.column("seed").to_pylist(), totals.column("documents").to_pylist(), strict=True))
+        block.mark_common(documents, documents.pop(None, 0))
         part = _over_seeds(docs, text, context.broadcast(block), search, [key], schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumn(item, F.col(item).cast(item_kind))
