@@ -236,3 +236,36 @@ def test_main_text_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>cut <b>off"), (4, "u", "plain text"), (None, "u", "<script>x"), (5, "u", "<article>" + "<div>" * 3000 + "deep")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in found] == ["", "", "cut off", "plain text", "", "deep"]
+
+
+LONG = "A sentence of the story that is long enough to stand for its content, as stories are."
+STORY = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+TOLD = "\n".join(["Title", LONG, LONG, LONG])
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-comments", "page-sidebar-left", "with-nav"])
+@pytest.mark.parametrize("inner", ["div", "article", "main"])
+def test_wrapper_of_the_page_is_spared(name, inner):
+    page = f'<body><div class="{name}"><{inner}>{STORY}</{inner}><div class="sidebar"><p>Latest posts of all</p></div></div></body>'
+    assert html.main_text(page) == TOLD
+
+
+def test_form_round_the_page_is_spared():
+    assert html.main_text(f'<body><form id="f">{STORY}<form class="search"><p>Search</p></form></form></body>').startswith(TOLD)
+    assert html.main_text(f"<body><div>{STORY}</div><form><p>Your name</p></form></body>") == TOLD
+
+
+def test_teasers_in_articles_do_not_displace_the_text():
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>Read on, there is more to it.</p></article>" for i in range(3))
+    assert TOLD in html.main_text(f"<body><div>{STORY}</div><div>{teasers}</div></body>")
+
+
+def test_header_of_an_article_stays():
+    page = f'<body><article><div class="entry-header"><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></body>'
+    assert html.main_text(page) == TOLD
+    assert html.main_text(page.replace("article>", "div>")) == TOLD
+
+
+def test_long_comments_are_no_wrapper():
+    comments = f"<p>{LONG} {LONG}</p>" * 9
+    assert html.main_text(f'<body><div>{STORY}</div><div class="comments">{comments}</div></body>') == TOLD
