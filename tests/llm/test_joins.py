@@ -193,6 +193,23 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in rows.collect()} == dict(enumerate(brute_lines(texts)))
 
 
+def test_ends_of_long_words_keep_lines_apart(spark):
+    """Against sets that are not cut: 9 characters from every place."""
+    pool = [f"Source: https://www.example.com/item/{'abcdefghij'[i] * 9}" for i in range(10)]
+    pool += ["electroencephalograph", "electroencephalogenic", "key-of-the-table-0001", "key-of-the-table-2222"]
+    pool += ["\U0001f642" * 40 + x * 30 for x in "xy"]
+
+    def places(line):
+        units = line.encode("utf-16-be")
+        return {units[2 * i : 2 * i + 18] for i in range(max(len(units) // 2 - 8, 1))}
+
+    sets = [places(x) for x in pool]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    component = groups(pairs, range(len(pool)))
+    docs = spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup(docs).collect()} == {i: int(component[i] != i) for i in range(len(pool))}
+
+
 def test_line_dedup_odd_rows(odd, empty):
     rows = lines.dedup(odd).collect()
     found = {r.doc_id: (r.n_lines, r.n_removed) for r in rows}

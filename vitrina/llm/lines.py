@@ -2,10 +2,13 @@
 
 Equal lines form a class at once. A class is a set of character shingles: the 12
 characters from the start of each word on, up to the end of the second word
-after it (in lines with hardly any space, as in scripts without, the 9
-characters from every place on). Two classes are linked if their sets share
-85 % of their union, and of each component of linked classes only the first line
-stays: the one in the document with the least id, there the first in line order.
+after it, and in words of more than 12 characters also every further 12 and the
+last 12, so every character is in one (in lines with hardly any space, as in
+scripts without, the 9 characters from every place on). Two classes are linked
+if their sets share 85 % of their union, and of each component of linked classes
+only the first line stays: the one in the document with the least id, there the
+first in line order. The sets weigh words alike, so an added short word counts
+for less than by the shingles of all places.
 
 * Signature: 40 minima. One hash is taken for each shingle and turned by an
   exclusive or with 40 fixed masks that differ in their top bits, so each mask
@@ -76,16 +79,29 @@ def _hashed(lines: DataFrame, *others: str) -> DataFrame:
     sparse = F.size(words) * SPARSE < F.length("line")
     # Two bytes for each character, so that a shingle is found by its place.
     units = F.when(sparse, F.encode("line", "UTF-16BE"))
-    last = F.when(sparse, F.greatest(F.length("line") - ANYWHERE + 1, F.lit(1))).otherwise(F.size(words))
+    places = F.greatest(F.octet_length(F.encode("line", "UTF-16BE")) / 2 - ANYWHERE + 1, F.lit(1)).cast("int")
+    last = F.when(sparse, places).otherwise(F.size(words))
     placed = lines.select("id", *others, words.alias("words"), units.alias("units"), last.alias("last"))
-    placed = placed.select("id", *others, "words", "units", F.explode(F.sequence(F.lit(1), "last")).alias("i"))
+    # What of long words lies beyond their first shingle follows after the words.
+    long = F.filter("words", lambda w: F.length(w) > FROM_WORD)
+    more = F.when(F.col("units").isNull(), F.flatten(F.transform(long, _further))).otherwise(F.array().cast("array<string>"))
+    placed = placed.withColumn("more", more)
+    placed = placed.select("id", *others, "words", "units", "more", F.explode(F.sequence(F.lit(1), F.col("last") + F.size("more"))).alias("i"))
     i = F.col("i")
     three = F.concat_ws(" ", F.get("words", i - 1), F.get("words", i), F.get("words", i + 1))
     anywhere = F.xxhash64(F.substring("units", 2 * i - 1, F.lit(2 * ANYWHERE)))
-    h = F.when(F.col("units").isNull(), F.xxhash64(F.left(three, F.lit(FROM_WORD)))).otherwise(anywhere)
+    n = F.size("words")
+    of_word = F.when(i > n, F.get("more", i - n - 1)).otherwise(F.left(three, F.lit(FROM_WORD)))
+    h = F.when(F.col("units").isNull(), F.xxhash64(of_word)).otherwise(anywhere)
     return placed.select("id", *others, h.alias("h"))
 
 
+def _further(word: Column) -> Column:
+    """Every further 12 characters of a long word, and the last 12."""
+    starts = F.sequence(F.lit(FROM_WORD + 1), F.length(word), F.lit(FROM_WORD))
+    return F.concat(F.transform(starts, lambda p: F.substring(word, p, F.lit(FROM_WORD))), F.array(F.right(word, F.lit(FROM_WORD))))
+
+
 def _classes(lines: DataFrame) -> DataFrame:
     """id, copies, first_doc, bands and low_0, low_1 (low bits of the minima) of each distinct line."""
     # The exchange by id serves both aggregations.
