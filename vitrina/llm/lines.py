@@ -23,7 +23,7 @@ for less than by the shingles of all places.
   ranked high enough in both to leave room for the overlap (prefix and position
   filtering), so this loses no link and needs no cap. Pairs whose
   estimate from two bits of each minimum is below 40 %, over 5 standard errors
-  under the threshold, are left out before.
+  under the threshold, are left out before where both sets have 20 shingles or more.
 
 Lines without a word (see vitrina.llm.texts) always stay and link nothing. Null
 texts have no lines. Equal rows count as one document and are treated alike;
@@ -46,6 +46,8 @@ SHARED_PERCENT = 85
 BANDS, ROWS = 10, 4
 #: Lanes of two bits in which the minima of a pair over the threshold may differ at most.
 DIFFERING = 18
+#: Smaller sets are not judged by lanes, as one shingle wins many neighbouring ones.
+FEW = 20
 #: Hubs that each bucket tries, as long as it holds several components.
 TURNS = 2
 
@@ -171,7 +173,7 @@ def _across(work: Workspace, mixed: DataFrame, sets: DataFrame) -> DataFrame:
         (F.col("id") < F.col("b_id"))
         & (F.col("component") != F.col("b_component"))
         & (most * (100 + SHARED_PERCENT) >= (F.col("n") + F.col("b_n")) * SHARED_PERCENT)
-        & (_differing("low_0", "b_low_0") + _differing("low_1", "b_low_1") <= DIFFERING)
+        & ((F.least("n", "b_n") < FEW) | (_differing("low_0", "b_low_0") + _differing("low_1", "b_low_1") <= DIFFERING))
     )
     pairs = work.write(placed.join(other, "h").where(fits).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     work.drop(number, rare, placed)
