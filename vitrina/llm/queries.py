@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import bpe, decontamination, html, lines, minhash, quality, repeats, toxicity, urls, viterbi
+from vitrina.llm import bpe, decontamination, html, lines, minhash, quality, repeats, toxicity, tries, urls, viterbi
 
 # The rules that the query over pages applies.
 RULES = [
@@ -78,6 +78,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -136,5 +141,29 @@ r AS (SELECT t.doc_id, count(*) FILTER (g.k IS NOT NULL) AS n_removed,
       FROM t LEFT JOIN g USING (doc_id, k) GROUP BY t.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN r USING (doc_id)
+""",
+    "op11_conversation_trie": r"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, count(*) AS total, conv_id - conv_id % 100 AS base,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda s: unicode(s)::BIGINT),
+      lambda crc, b: list_reduce([xor(crc, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+        lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 6 AS h
+  FROM o GROUP BY conv_id),
+k AS (SELECT t.*, least(t.h, coalesce(b.total, 0)) AS k FROM t LEFT JOIN t AS b ON b.conv_id = t.base),
+r AS (SELECT k.conv_id, o.p AS d, o.role, o.text FROM k JOIN o ON o.conv_id = k.base AND o.p <= k.h
+  UNION ALL SELECT k.conv_id, k.k + o.p - k.h, o.role, o.text FROM k JOIN o ON o.conv_id = k.conv_id AND o.p > k.h),
+s AS (SELECT conv_id, d, length(text) AS chars,
+    string_agg(md5(length(role) || ' ' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path,
+    d = max(d) OVER (PARTITION BY conv_id) AS last FROM r
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM r) FROM k),
+n AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM s GROUP BY d, path),
+c AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c USING (path)),
+u AS (SELECT substr(path, 1, 32 * a) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT path, n_children, n_convs, chars, unnest(range(0, d + 1)) AS a FROM v) GROUP BY 1)
+SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN u USING (path) LEFT JOIN v AS p ON v.d > 0 AND p.path = substr(v.path, 1, 32 * (v.d - 1))
 """,
 }
