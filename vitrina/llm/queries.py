@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import bpe, decontamination, html, lines, minhash, quality, repeats, toxicity, tries, urls, viterbi
+from vitrina.llm import bpe, collocations, decontamination, html, lines, minhash, quality, repeats, rtree, toxicity, tries, urls, viterbi
 
 # The rules that the query over pages applies.
 RULES = [
@@ -82,6 +82,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
@@ -94,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,5 +175,46 @@ u AS (SELECT substr(path, 1, 32 * a) AS path, count(*) FILTER (n_children = 0) A
   FROM (SELECT path, n_children, n_convs, chars, unnest(range(0, d + 1)) AS a FROM v) GROUP BY 1)
 SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
 FROM v JOIN u USING (path) LEFT JOIN v AS p ON v.d > 0 AND p.path = substr(v.path, 1, 32 * (v.d - 1))
+""",
+    "op12_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (shingle)
+      WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+d AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, d.y FROM r JOIN d ON r.y = d.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, len(phrase) AS k, array_to_string(phrase, ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, unnest(list_concat(
+              list_transform(range(1, len(ws) + 1), lambda i: ws[i:i]), list_transform(range(1, len(ws)), lambda i: ws[i:i + 1]),
+              list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]), list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]))) AS phrase FROM w)
+      GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 30),
+s AS (SELECT c.*, i, x.f AS l, y.f AS r, 2000000 * c.a::HUGEINT // (x.f + y.f) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS i FROM c) AS c
+      JOIN g AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:i], ' ')
+      JOIN g AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[i + 1:c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+h AS (SELECT lang, inner_phrase AS phrase, max(a) AS longer FROM (
+      SELECT lang, a, unnest(list_concat(
+        CASE WHEN k >= 3 THEN list_transform(range(1, k), lambda i: array_to_string(ws[i:i + 1], ' ')) ELSE [] END,
+        CASE WHEN k = 4 THEN list_transform(range(1, 3), lambda i: array_to_string(ws[i:i + 2], ' ')) ELSE [] END)) AS inner_phrase FROM c)
+      GROUP BY ALL),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN h USING (lang, phrase) WHERE NOT coalesce(100 * longer::HUGEINT >= 80 * a, false))
+SELECT lang, rank, phrase, a, l, r, n.n::BIGINT AS n, score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
