@@ -47,8 +47,8 @@ DROP_PERCENT = 80
 START, STEP = 2 * TOP, 4
 SLOTS_BITS, _PAGE_BITS = 24, 12
 SLOTS = 1 << SLOTS_BITS
-#: Bytes of text cut at once, and phrases counted before they are sent on.
-_TEXT, _POOL = 1 << 21, 1 << 21
+#: Bytes of text cut at once, phrases that are added up together, and rows of a batch sent on.
+_TEXT, _POOL, _SENT = 1 << 20, 1 << 19, 1 << 16
 
 _FREQUENT, _GROWS_RIGHT, _GROWS_LEFT, _HIGH = 1, 2, 4, 8
 
@@ -153,9 +153,9 @@ def _pooled(docs: DataFrame, rows: Callable[[_Words], pa.Table], keys: list[str]
                 if sum(t.num_rows for t in pool) >= _POOL:
                     pool = [summed(pool)]
                     if pool[0].num_rows >= _POOL // 2:
-                        yield from pool.pop().combine_chunks().to_batches()
+                        yield from pool.pop().to_batches(max_chunksize=_SENT)
         if pool:
-            yield from summed(pool).combine_chunks().to_batches()
+            yield from summed(pool).to_batches(max_chunksize=_SENT)
 
     return docs.mapInArrow(run, schema).groupBy(*keys).agg(F.sum("f").alias("f"))
 
