@@ -16,7 +16,9 @@ from vitrina.params import Ventana, VentanaAnual, VentanaReciente
 from vitrina.plans import anual, catalogos, participacion, reportes, resumen
 from vitrina.plans.contexto import Contexto
 from vitrina.sinks import exportar
-from vitrina.sources import FuenteEstrella
+from vitrina.schemas import HECHOS
+from vitrina.sources import FuenteEstrella, FuenteTablas, Mart, TablaDiaria
+from vitrina.sources.tablas import escribir_hechos
 
 INICIO, FIN = date(2001, 8, 5), date(2001, 9, 9)
 HOY = date(2001, 9, 10)
@@ -170,6 +172,72 @@ def _rp(u: int) -> Ventana:
     return _ventana(u, "RP")
 
 
+# Sources kept up to date: the summary of the days and the mart, after the changes below.
+
+CAMBIADO, QUITADO, NUEVO = date(2001, 8, 16), date(2001, 8, 23), date(2001, 9, 9)
+
+
+class _Copia:
+    """Both given facts as stored tables, changed by day after a mart was made
+    from them, and the mart refreshed."""
+
+    def __init__(self, ctx: Contexto):
+        raiz, dada = ctx.almacen.ruta_nueva("dwh"), ctx.fuente.tabla
+        tablas = {n: escribir_hechos(dada(n), f"{raiz}/{n}") for n in HECHOS}
+        self.fuente = FuenteTablas(ctx.spark, lambda n: tablas[n].leer() if n in HECHOS else dada(n), tablas.__getitem__)
+        self.mart = Mart(self.fuente, ctx.almacen.ruta_nueva("mart"))
+        self.mart.refrescar()
+        for nombre, tabla in tablas.items():
+            dobles = F.when(F.col("ini_cliente") == "FL", F.col("cant") * 2).otherwise(F.col("cant"))
+            tabla.reescribir(dada(nombre).where(F.col("fecha") == CAMBIADO).withColumn("cant", dobles))
+            tabla.agregar(dada(nombre).where((F.col("fecha") == NUEVO) & (F.col("ini_cliente") == "RP")))
+            tabla.quitar([QUITADO])
+        self.mart.refrescar()
+
+
+_copias: dict[int, _Copia] = {}
+
+
+def _copia(ctx: Contexto) -> _Copia:
+    if id(ctx) not in _copias:
+        _copias[id(ctx)] = _Copia(ctx)
+    return _copias[id(ctx)]
+
+
+_marts: dict[int, Contexto] = {}
+
+
+def _del_mart(ctx: Contexto) -> Contexto:
+    """Reports answered from sums per store, item and day of the given facts."""
+    if id(ctx) not in _marts:
+        mart = Mart(ctx.fuente, ctx.almacen.ruta_nueva("mart"))
+        mart.refrescar()
+        _marts[id(ctx)] = Contexto(mart)
+    return _marts[id(ctx)]
+
+
+def _dias_tras_cambios(ctx: Contexto, u: int) -> DataFrame:
+    dias = [_copia(ctx).fuente.dias(n).withColumn("hecho", F.lit(n)) for n in HECHOS]
+    return dias[0].unionByName(dias[1]).select("hecho", "fecha", "ini_cliente", "filas")
+
+
+def _mart_tras_cambios(ctx: Contexto, u: int) -> DataFrame:
+    medidas = [F.sum(m).alias(m) for m in ("cant_venta", "cant_stock", "importe", "n_venta", "n_stock")]
+    return _copia(ctx).mart.leer().groupBy("ini_cliente", "fecha").agg(*medidas)
+
+
+def _por_tienda_tras_cambios(ctx: Contexto, u: int) -> DataFrame:
+    return reportes.ventas_por_tienda(Contexto(_copia(ctx).mart), _ventana(u))
+
+
+CORTES = [("FL", HOY), ("RP", HOY), ("FL", date(2001, 6, 20)), ("FL", date(2000, 3, 2))]
+
+
+def _sem_ano_varias(ctx: Contexto, u: int) -> DataFrame:
+    ventanas = ctx.spark.createDataFrame(CORTES, "ini_cliente string, as_of date")
+    return reportes.ventas_sem_ano_varias(ctx, ventanas, umbral=u)
+
+
 _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     # reports
     "ventas_por_tienda": lambda c, u: reportes.ventas_por_tienda(c, _ventana(u)),
@@ -180,10 +248,22 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "ventas_stock_detalle": _detalle,
     "ventas_stock_detalle_rp": lambda c, u: reportes.ventas_stock_detalle(c, _rp(u)),
     "ventas_sem_ano": lambda c, u: reportes.ventas_sem_ano(c, _anual(u)),
+    "ventas_sem_ano_varias": _sem_ano_varias,
+    "pagina_resumen": lambda c, u: reportes.pagina_resumen(c, _ventana(u)),
+    "mart_ventas_por_tienda": lambda c, u: reportes.ventas_por_tienda(_del_mart(c), _ventana(u)),
+    "mart_ventas_por_color": lambda c, u: reportes.ventas_por_color(_del_mart(c), _ventana(u).ultima_semana_de_stock()),
+    "mart_ventas_por_talla": lambda c, u: reportes.ventas_por_talla(_del_mart(c), _ventana(u).ultima_semana_de_stock()),
+    "mart_ventas_stock_detalle": lambda c, u: _detalle(_del_mart(c), u),
+    "mart_ventas_sem_ano": lambda c, u: reportes.ventas_sem_ano(_del_mart(c), _anual(u)),
+    "mart_tras_cambios": _mart_tras_cambios,
+    "dias_tras_cambios": _dias_tras_cambios,
+    "ventas_por_tienda_tras_cambios": _por_tienda_tras_cambios,
     "ventas_stock_8sem": lambda c, u: reportes.ventas_stock_8sem(c, VentanaReciente(umbral=u, as_of=HOY)),
     "semanas_disponibles": lambda c, u: catalogos.semanas_disponibles(c),
-    "clientes": lambda c, u: catalogos.clientes(c.fuente),
-    "cliente_defecto": lambda c, u: catalogos.cliente_defecto(catalogos.clientes(c.fuente)),
+    "dias_con_datos": lambda c, u: c.dias("dwh_ventas").select("fecha", "ini_cliente", "filas"),
+    "semanas_por_tienda": lambda c, u: catalogos.semanas_por_tienda(c),
+    "clientes": lambda c, u: catalogos.clientes(c),
+    "cliente_defecto": lambda c, u: catalogos.cliente_defecto(catalogos.clientes(c)),
     "tiendas": lambda c, u: catalogos.tiendas(c.fuente),
     "fechas_corte": lambda c, u: catalogos.fechas_corte(
         c.fuente.tabla("dwh_ventas").select("fecha").distinct()
@@ -244,6 +324,7 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "crecimiento_anual": lambda c, u: anual.crecimiento_anual(
         anual.pivote_semana_ano(_sem_ano(c, u))
     ),
+    "opciones_cascada": lambda c, u: anual.opciones_cascada(_sem_ano(c, u), cliente="FL", marca="M4"),
     "filtrar_anual": lambda c, u: anual.filtrar_anual(
         _sem_ano(c, u), marca="M4", programa="basico"
     ),

@@ -171,6 +171,31 @@ disponible AS (
 )"""
 
 
+# Client, cut-off Saturday and the two spans of four weeks up to it and a year before.
+CORTES = [
+    ("FL", "2001-09-08", ANUAL),
+    ("RP", "2001-09-08", ANUAL),
+    ("FL", "2001-06-16", f"{rango('2001-05-19', '2001-06-16')} OR {rango('2000-05-19', '2000-06-16')}"),
+    ("FL", "2000-02-26", f"{rango('2000-01-29', '2000-02-26')} OR {rango('1999-01-29', '1999-02-26')}"),
+]
+
+
+def _tras_cambios(*ctes: str, final: str) -> str:
+    """The facts with one day rewritten, one appended to and one removed."""
+    sql = consulta(*ctes, final=final)
+    for hecho, precio in (("dwh_ventas", ", pvp_unit"), ("dwh_stock", "")):
+        cambiado = f"""{hecho} AS (
+    SELECT ini_cliente, num_local, ean, fecha,
+           CASE WHEN fecha = DATE '2001-08-16' AND ini_cliente = 'FL' THEN cant * 2 ELSE cant END AS cant{precio}
+    FROM {hecho}_dado WHERE fecha <> DATE '2001-08-23'
+    UNION ALL
+    SELECT ini_cliente, num_local, ean, fecha, cant{precio}
+    FROM {hecho}_dado WHERE fecha = DATE '2001-09-09' AND ini_cliente = 'RP'
+)"""
+        sql = sql.replace(f"{hecho} AS (", f"{hecho}_dado AS (", 1).replace("semanas AS (", f"{cambiado},\nsemanas AS (", 1)
+    return sql
+
+
 def consultas() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -460,6 +485,58 @@ def consultas() -> dict[str, str]:
         WINDOW n AS (PARTITION BY ciudad, local, color)
     )""".replace("pct_participacion_venta, pct_participacion_stock,\n           round(gv", "round(pct_participacion_venta, 6) AS pct_participacion_venta, round(pct_participacion_stock, 6) AS pct_participacion_stock,\n           round(gv")
 
+    # --- several windows, one pass, days and mart
+    q["ventas_sem_ano_varias"] = " UNION ALL ".join(
+        f"SELECT DATE '{corte}' AS corte, * FROM ({consulta(*_lineas(cliente, ventas=ventas, dia=corte), final=_SEM_ANO)})"
+        for cliente, corte, ventas in CORTES
+    )
+    columnas = "ini_cliente, c_l, local, ciudad, marca, tipo_programa, fit_estilo, semanas, cant_venta, cant_stock"
+    q["pagina_resumen"] = " UNION ALL ".join(
+        f"SELECT '{informe}' AS informe, {columnas}, {propias} FROM ({q[nombre]})"
+        for informe, nombre, propias in (
+            ("tienda", "ventas_por_tienda", "NULL AS color, NULL AS c_color, NULL AS color_hexa, NULL AS talla, pvp_prom"),
+            ("color", "ventas_por_color", "color, c_color, color_hexa, NULL, NULL"),
+            ("talla", "ventas_por_talla", "color, NULL, NULL, talla, NULL"),
+        )
+    )
+    for informe in ("por_tienda", "por_color", "por_talla", "stock_detalle", "sem_ano"):
+        q[f"mart_ventas_{informe}"] = q[f"ventas_{informe}"]
+    q["dias_con_datos"] = consulta(final="SELECT fecha, ini_cliente, count(*) AS filas FROM dwh_ventas GROUP BY ALL")
+    q["semanas_por_tienda"] = consulta(
+        """tramo AS (
+            SELECT ini_cliente, num_local AS c_l, min(fecha) AS primera, max(fecha) AS ultima FROM dwh_ventas GROUP BY ALL
+        )""",
+        final=f"""
+        SELECT DISTINCT ini_cliente, c_l, {_SEMANA_FMT} AS semana_formateada, dia_fin AS fin_semana
+        FROM tramo JOIN semanas ON dia_fin >= primera AND dia_inicio <= ultima""",
+    )
+    q["dias_tras_cambios"] = _tras_cambios(
+        final=" UNION ALL ".join(
+            f"SELECT '{h}' AS hecho, fecha, ini_cliente, count(*) AS filas FROM {h} GROUP BY ALL" for h in ("dwh_ventas", "dwh_stock")
+        )
+    )
+    q["mart_tras_cambios"] = _tras_cambios(
+        final="""
+        SELECT ini_cliente, fecha, CAST(sum(v) AS BIGINT) AS cant_venta, CAST(sum(s) AS BIGINT) AS cant_stock,
+               CAST(sum(importe) AS DOUBLE) AS importe, CAST(sum(nv) AS BIGINT) AS n_venta, CAST(sum(ns) AS BIGINT) AS n_stock
+        FROM (SELECT ini_cliente, fecha, cant AS v, 0 AS s, cant * pvp_unit AS importe, 1 AS nv, 0 AS ns FROM dwh_ventas
+              UNION ALL SELECT ini_cliente, fecha, 0, cant, 0, 0, 1 FROM dwh_stock)
+        GROUP BY ALL""",
+    )
+    q["ventas_por_tienda_tras_cambios"] = _tras_cambios(*_TIENDA, final=_POR_TIENDA)
+    q["opciones_cascada"] = consulta(
+        *_ANO,
+        R_ANO,
+        final=" UNION ALL ".join(
+            f"SELECT '{c}' AS filtro, {c} AS opcion, count(*) AS filas FROM r WHERE {c} IS NOT NULL AND {antes} GROUP BY ALL"
+            for c, antes in (
+                ("ini_cliente", "true"),
+                ("marca", "ini_cliente = 'FL'"),
+                ("tipo_programa", "ini_cliente = 'FL' AND marca = 'M4'"),
+            )
+        ),
+    )
+
     # --- sink
     q["exportar_detalle"] = consulta(
         *_TIENDA, f"detalle AS ({_DETALLE})", final="SELECT * FROM detalle WHERE marca IS NOT NULL"

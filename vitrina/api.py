@@ -1,6 +1,6 @@
 """Reports by name with named parameters, the way they are called today.
 
-    ctx = Contexto(FuenteTablas.parquet(spark, "s3://bucket/dwh"))
+    ctx = Contexto(FuenteTablas.parquet(spark, "/dwh"))
     consultar(ctx, "ventas_por_tienda", {
         "ini_cliente": "FL", "fecha_inicio": date(2026, 2, 1),
         "fecha_fin": date(2026, 3, 8), "stock_threshold": 800,
@@ -30,7 +30,7 @@ REPORTES: dict[str, tuple[Callable[..., DataFrame], type]] = {
 # Lists with the column that orders them, if any.
 LISTAS: dict[str, tuple[Callable[[Contexto], DataFrame], str | None]] = {
     "semanas_disponibles": (catalogos.semanas_disponibles, "fin_semana"),
-    "clientes": (lambda ctx: catalogos.clientes(ctx.fuente), None),
+    "clientes": (catalogos.clientes, None),
     "tiendas": (lambda ctx: catalogos.tiendas(ctx.fuente), None),
     "fechas_corte": (lambda ctx: catalogos.fechas_corte_de(ctx.spark), None),
 }

@@ -13,9 +13,9 @@ GRANO = ("num_local", "ean", "fecha")
 MEDIDAS = ("cant_venta", "cant_stock", "importe", "n_venta", "n_stock")
 
 
-def movimientos_venta(ventas: DataFrame) -> DataFrame:
+def movimientos_venta(ventas: DataFrame, claves: Sequence[str] = GRANO) -> DataFrame:
     return ventas.selectExpr(
-        *GRANO,
+        *claves,
         "cant as cant_venta",
         "0 as cant_stock",
         "cant * pvp_unit as importe",
@@ -24,9 +24,9 @@ def movimientos_venta(ventas: DataFrame) -> DataFrame:
     )
 
 
-def movimientos_stock(stock: DataFrame) -> DataFrame:
+def movimientos_stock(stock: DataFrame, claves: Sequence[str] = GRANO) -> DataFrame:
     return stock.selectExpr(
-        *GRANO,
+        *claves,
         "0 as cant_venta",
         "cant as cant_stock",
         "cast(0 as decimal(23,2)) as importe",
@@ -45,9 +45,11 @@ def por_semana(movimientos: DataFrame) -> DataFrame:
     return movimientos.withColumn("fecha", lunes(F.col("fecha")))
 
 
-def consolidar(movimientos: DataFrame, claves: Sequence[str] = GRANO) -> DataFrame:
+def consolidar(
+    movimientos: DataFrame, claves: Sequence[str] = GRANO, medidas: Sequence[str] = MEDIDAS
+) -> DataFrame:
     """One row per store, item and date. All measures are sums, so this is
     exact before any join, repeated dimension keys included; it combines on
     the map side and leaves at most stores x dates rows of one item, however
     often the item occurs in the facts."""
-    return movimientos.groupBy(*claves).agg(*(F.sum(m).alias(m) for m in MEDIDAS))
+    return movimientos.groupBy(*claves).agg(*(F.sum(m).alias(m) for m in medidas))

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expresiones import crecimiento_pct, nombre_dia
-from ..operators.filtros import filtros_dinamicos
+from ..operators.filtros import TODOS, filtros_dinamicos, predicado
 
 # Weekday columns of the pivot, Monday first.
 COLUMNAS_DIA = ("lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "domingo")
-TODOS = "Todos"
 
 
 def filtrar_anual(
@@ -22,6 +21,28 @@ def filtrar_anual(
     )
 
 
+def opciones_cascada(diario: DataFrame, cliente: str = TODOS, marca: str = TODOS) -> DataFrame:
+    """The option lists of client, brand and programme, each over the rows that
+    the choices before it leave, from one pass: ``filtro``, ``opcion`` and how
+    many rows have it. Unknown values are no option."""
+    elegido = {"ini_cliente": cliente, "marca": marca}
+    columnas = ("ini_cliente", "marca", "tipo_programa")
+    ofertas, quedan = [], F.lit(True)
+    for columna in columnas:
+        opcion = F.when(quedan, F.col(columna).cast("string"))
+        ofertas.append(F.struct(F.lit(columna).alias("filtro"), opcion.alias("opcion")))
+        quedan = quedan & predicado({columna: elegido.get(columna, TODOS)})
+    lista = F.filter(F.array(*ofertas), lambda oferta: oferta["opcion"].isNotNull())
+    return (
+        diario.groupBy(*columnas)
+        .agg(F.count(F.lit(1)).alias("filas"))
+        .select(F.inline(lista), "filas")
+        .groupBy("filtro", "opcion")
+        .agg(F.sum("filas").alias("filas"))
+        .orderBy("filtro", "opcion")
+    )
+
+
 def con_dia(diario: DataFrame) -> DataFrame:
     return diario.withColumn("dia_es", nombre_dia(F.col("fecha")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expresiones import corte_semanal, lunes, sin_prefijo
+from ..operators.intervalos import unir_solapados
 from ..params import CLIENTE_DEFECTO
 from ..sources.tablas import Fuente
 from .contexto import Contexto
@@ -15,8 +16,10 @@ from .contexto import Contexto
 POSICION_DESDE = 6  # default range: newest week back to the sixth newest
 
 
-def clientes(fuente: Fuente) -> DataFrame:
-    return fuente.tabla("dwh_ventas").select("ini_cliente").distinct()
+def clientes(ctx: Contexto) -> DataFrame:
+    """Clients with sales, from the summary of the days: no fact is read, and a
+    client whose only day is removed goes with it."""
+    return ctx.dias("dwh_ventas").select("ini_cliente").distinct()
 
 
 def cliente_defecto(lista: DataFrame) -> DataFrame:
@@ -34,8 +37,8 @@ def tiendas(fuente: Fuente) -> DataFrame:
 
 def semanas_disponibles(ctx: Contexto) -> DataFrame:
     """Weeks that overlap the dates with sales, newest first. The two bounds
-    are scalar subqueries, which Spark merges into one pass over the facts."""
-    fechas = ctx.fuente.tabla("dwh_ventas").select("fecha")
+    are scalar subqueries over the summary of the days; no fact is read."""
+    fechas = ctx.dias("dwh_ventas").select("fecha")
     primera = fechas.agg(F.min("fecha")).scalar()
     ultima = fechas.agg(F.max("fecha")).scalar()
     return (
@@ -47,6 +50,24 @@ def semanas_disponibles(ctx: Contexto) -> DataFrame:
     )
 
 
+def semanas_por_tienda(ctx: Contexto) -> DataFrame:
+    """Weeks that overlap the dates between the first and the last sale of each
+    store of a client: the list of ``semanas_disponibles`` for many spans at
+    once. The facts are read once, with partial bounds on the map side."""
+    tramos = (
+        ctx.fuente.tabla("dwh_ventas")
+        .groupBy("ini_cliente", "num_local")
+        .agg(F.min("fecha").alias("primera"), F.max("fecha").alias("ultima"))
+    )
+    semanas = ctx.semanas().df.select("lunes", "dia_fin", "semanas").distinct()
+    return unir_solapados(tramos, semanas, desde=("primera", "lunes"), hasta=("ultima", "dia_fin")).select(
+        "ini_cliente",
+        F.col("num_local").alias("c_l"),
+        F.col("semanas").alias("semana_formateada"),
+        F.col("dia_fin").alias("fin_semana"),
+    )
+
+
 def rango_fechas_defecto(
     semanas: DataFrame,
     as_of: date,

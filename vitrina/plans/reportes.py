@@ -7,7 +7,7 @@ stores and the calendar are looked up; one aggregation yields the report.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from datetime import date
 
@@ -15,16 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expresiones import (
+    corte_semanal,
+    en_rangos,
     lunes,
     precio_medio,
     precio_no_cero,
     precio_o_cero,
     sin_prefijo,
 )
+from ..operators.articulos import con_programa, marca_efectiva
+from ..operators.calientes import separar
 from ..operators.filtros import Seleccion, filtros_dinamicos
 from ..operators.grupos import CLAVES, con_grupos, grupos_validos
-from ..operators.hechos import MEDIDAS, consolidar, movimientos_stock, por_semana, unir_movimientos
-from ..params import Rango, Ventana, VentanaAnual, VentanaReciente, en_semanas, lunes_de_etiqueta
+from ..operators.hechos import GRANO, MEDIDAS, consolidar, movimientos_stock, movimientos_venta, por_semana
+from ..params import SEMANAS_DEFECTO, Rango, Ventana, VentanaAnual, VentanaReciente, en_semanas, lunes_de_etiqueta
 from ..sources.almacen import Medida
 from .contexto import COLUMNAS_ARTICULO, COLUMNAS_COLOR, Contexto
 
@@ -41,14 +45,14 @@ LARGO_CIUDAD = 20
 def movimientos(
     ctx: Contexto, cliente: str, ventas: Sequence[Rango], stock: Sequence[Rango]
 ) -> DataFrame:
-    return unir_movimientos(ctx.fuente.ventas(cliente, ventas), ctx.fuente.stock(cliente, stock))
+    return ctx.fuente.movimientos(cliente, ventas, stock)
 
 
 def grupos_del_dia(ctx: Contexto, cliente: str, dia: date, umbral: int) -> DataFrame:
     """Groups whose stock on one snapshot day, over stores of any type,
     reaches the threshold."""
     articulos = ctx.articulos(cliente).de(*ATRIBUTOS)
-    stock = movimientos_stock(ctx.fuente.stock(cliente, [(dia, dia)]))
+    stock = movimientos(ctx, cliente, [], [(dia, dia)])
     if not articulos.difundible:
         stock = consolidar(stock, ["ean"])
     return grupos_validos(stock.join(articulos.lado(), "ean", "left"), umbral)
@@ -77,8 +81,15 @@ def articulos_con_grupos(
     return replace(articulos, df=con_grupos(articulos.df, grupos.lado(), how), bytes_=bytes_)
 
 
-def con_articulos(movs: DataFrame, articulos: Medida, how: str = "left") -> DataFrame:
-    return movs.join(articulos.lado(), "ean", how)
+def con_articulos(movs: DataFrame, articulos: Medida, how: str = "left", calientes: Sequence[str] = ()) -> DataFrame:
+    """Item attributes. Rows of the hot items meet a broadcast of their few
+    catalogue rows, if these are measured small; the rest join without a hint."""
+    if not calientes:
+        return movs.join(articulos.lado(), "ean", how)
+    (de_moda, resto), (pocos, otros) = (separar(df, "ean", calientes) for df in (movs, articulos.df))
+    if not articulos.solo(pocos).difundible:
+        return movs.join(articulos.df, "ean", how)
+    return de_moda.join(F.broadcast(pocos), "ean", how).unionByName(resto.join(otros, "ean", how))
 
 
 def con_tienda(ctx: Contexto, cliente: str, df: DataFrame, *, solo_tiendas: bool = True) -> DataFrame:
@@ -118,6 +129,8 @@ def _base(
     columnas: Sequence[str] = (),
     solo_tiendas: bool = True,
     por_articulo: bool = False,
+    medidas: Sequence[str] = MEDIDAS,
+    calientes: Callable[[], Sequence[str]] = tuple,
 ) -> DataFrame:
     """Movements with every attribute a report groups by, ``columnas`` of the
     item among them; ``dia`` and ``umbral`` decide which brand groups are
@@ -126,7 +139,9 @@ def _base(
     Facts are consolidated first when the report keeps the item
     (``por_articulo``) or when a dimension is too large to broadcast. In the
     latter case they are summed again once the item is no longer needed, so
-    that neither a hot item nor a hot store or week can skew a join.
+    that neither a hot item nor a hot store or week can skew a join. Items that
+    hold more rows than a task should (``calientes``) are looked up in a
+    broadcast of just these items; the others are sorted and merged.
     """
     ctx.preparar(cliente, color=not set(COLUMNAS_COLOR).isdisjoint(columnas))
     grupos = grupos_medidos(ctx, cliente, dia, umbral)
@@ -136,10 +151,10 @@ def _base(
         if how == "inner" and articulos.difundible:
             # Items outside the valid groups need not be shuffled at all.
             movs = movs.join(articulos.lado(articulos.df.select("ean")), "ean", "left_semi")
-        movs = consolidar(movs)
-    df = con_articulos(movs, articulos, how)
+        movs = consolidar(movs, medidas=medidas)
+    df = con_articulos(movs, articulos, how, () if articulos.difundible else calientes())
     if not (por_articulo or difundidas):
-        df = consolidar(df, [c for c in df.columns if c not in ("ean", *MEDIDAS)])
+        df = consolidar(df, [c for c in df.columns if c not in ("ean", *medidas)], medidas)
     return con_semana(ctx, con_tienda(ctx, cliente, df, solo_tiendas=solo_tiendas))
 
 
@@ -165,7 +180,16 @@ def _base_ventana(
     movs = por_semana(movimientos(ctx, p.cliente, *rangos))
     if tienda is not None:
         movs = movs.where(F.col("num_local") == tienda)
-    return _base(ctx, p.cliente, movs, p.fecha_fin, p.umbral, how=_como(solo_validas), **opciones)
+    return _base(
+        ctx,
+        p.cliente,
+        movs,
+        p.fecha_fin,
+        p.umbral,
+        how=_como(solo_validas),
+        calientes=lambda: ctx.articulos_calientes(p.cliente, *rangos),
+        **opciones,
+    )
 
 
 # --- by store, colour, size ----------------------------------------------------------
@@ -239,6 +263,88 @@ def ventas_por_talla(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -
     )
 
 
+# --- the summary page ------------------------------------------------------------------
+
+_COMUNES = ("ini_cliente", "c_l", "local", "ciudad", "vmt_marca", "vmt_fit", "semanas")
+_CONJUNTOS = {
+    "tienda": ("vmt_tipo",),
+    "color": ("tipo_calc", "color", "cod_color", "color_hexa"),
+    "talla": ("tipo_calc", "color_talla", "talla"),
+}
+# Measures of the page: stock and row counts of the store report's window and of the last week.
+_MEDIDAS_PAGINA = ("cant_venta", "cant_stock", "stock_semana", "importe", "n_tienda", "n_semana")
+_COLUMNAS_INFORME = {
+    "tienda": ("ini_cliente", "c_l", "local", "ciudad", "marca", "tipo_programa", "fit_estilo", "semanas", "cant_venta", "cant_stock", "pvp_prom"),
+    "color": ("ini_cliente", "tipo_programa", "c_l", "local", "ciudad", "marca", "semanas", "fit_estilo", "color", "c_color", "color_hexa", "cant_venta", "cant_stock"),
+    "talla": ("ini_cliente", "tipo_programa", "c_l", "local", "ciudad", "marca", "semanas", "fit_estilo", "color", "talla", "cant_venta", "cant_stock"),
+}
+
+
+def pagina_resumen(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -> DataFrame:
+    """The reports by store, colour and size of one page, told apart by
+    ``informe``, from one pass over both facts: one enriched stream, one
+    aggregation over three grouping sets. Colour and size look at the last
+    seven days of stock only, so their stock is a sum of its own, and a group
+    is theirs if it has sales or stock of these days."""
+    corta = p.ultima_semana_de_stock()
+    movs = movimientos(ctx, p.cliente, [p.rango_ventas], [p.rango_stock, corta.rango_stock])
+    en_tienda, en_semana = (F.expr(en_rangos("fecha", [r])) for r in (p.rango_stock, corta.rango_stock))
+    cero = F.lit(0)
+    movs = movs.select(
+        *GRANO,
+        "cant_venta",
+        F.when(en_tienda, F.col("cant_stock")).otherwise(cero).alias("cant_stock"),
+        F.when(en_semana, F.col("cant_stock")).otherwise(cero).alias("stock_semana"),
+        "importe",
+        (F.col("n_venta") + F.when(en_tienda, F.col("n_stock")).otherwise(cero)).alias("n_tienda"),
+        (F.col("n_venta") + F.when(en_semana, F.col("n_stock")).otherwise(cero)).alias("n_semana"),
+    )
+    base = _base(
+        ctx,
+        p.cliente,
+        por_semana(movs),
+        p.fecha_fin,
+        p.umbral,
+        how=_como(solo_validas),
+        columnas=("cod_color", "color", "color_hexa", "talla"),
+        medidas=_MEDIDAS_PAGINA,
+        calientes=lambda: ctx.articulos_calientes(p.cliente, [p.rango_ventas], [p.rango_stock, corta.rango_stock]),
+    ).withColumn("color_talla", F.concat("color", F.lit("-"), "cod_color"))
+    conjuntos = {n: [*_COMUNES, *propias] for n, propias in _CONJUNTOS.items()}
+    claves = list(dict.fromkeys(c for conjunto in conjuntos.values() for c in conjunto))
+    informe = F.when(F.grouping("vmt_tipo") == 0, "tienda").when(F.grouping("talla") == 0, "talla").otherwise("color")
+    sumas = base.groupingSets(list(conjuntos.values()), *claves).agg(
+        informe.alias("informe"),
+        *[F.sum(m).alias(m) for m in _MEDIDAS_PAGINA],
+        precio_o_cero(F.sum("importe"), F.sum("cant_venta")).alias("precio"),
+    )
+    de_tienda = F.col("informe") == "tienda"
+    return sumas.where(F.when(de_tienda, F.col("n_tienda")).otherwise(F.col("n_semana")) > 0).select(
+        "informe",
+        "ini_cliente",
+        "c_l",
+        "local",
+        "ciudad",
+        F.col("vmt_marca").alias("marca"),
+        F.when(de_tienda, F.col("vmt_tipo")).otherwise(F.col("tipo_calc")).alias("tipo_programa"),
+        F.col("vmt_fit").alias("fit_estilo"),
+        "semanas",
+        F.when(F.col("informe") == "talla", F.col("color_talla")).otherwise(F.col("color")).alias("color"),
+        F.col("cod_color").alias("c_color"),
+        "color_hexa",
+        "talla",
+        "cant_venta",
+        F.when(de_tienda, F.col("cant_stock")).otherwise(F.col("stock_semana")).alias("cant_stock"),
+        F.when(de_tienda, F.col("precio")).alias("pvp_prom"),
+    )
+
+
+def informes_de_pagina(ctx: Contexto, p: Ventana, *, solo_validas: bool = False) -> dict[str, DataFrame]:
+    """The three reports of the page by name, computed and stored together."""
+    pagina = ctx.resultado(pagina_resumen, p, solo_validas=solo_validas)
+    return {n: pagina.where(F.col("informe") == n).select(*columnas) for n, columnas in _COLUMNAS_INFORME.items()}
+
+
 # --- item grain -------------------------------------------------------------------------
 
 
@@ -351,6 +457,7 @@ def ventas_stock_8sem(ctx: Contexto, p: VentanaReciente) -> DataFrame:
         columnas=("sku", "ref_modelo"),
         solo_tiendas=False,
         por_articulo=True,
+        calientes=lambda: ctx.articulos_calientes(p.cliente, [p.rango], [p.rango]),
     )
     return base.groupBy(
         "ini_cliente",
@@ -376,15 +483,30 @@ def ventas_sem_ano(ctx: Contexto, p: VentanaAnual, *, solo_validas: bool = False
     """Daily sales and stock of the last weeks and of the same span one year
     before. Stock of groups below the threshold is left out; their sales stay,
     with a null brand, unless ``solo_validas``."""
-    movs = movimientos(ctx, p.cliente, p.rangos(p.semanas_venta), p.rangos(p.semanas_stock))
-    base = _base(ctx, p.cliente, movs, p.corte, p.umbral, how=_como(solo_validas))
-    if not solo_validas:
-        valido = F.col("vmt_marca").isNotNull()
-        base = base.where(valido | (F.col("n_venta") > 0)).withColumn(
-            "cant_stock", F.when(valido, F.col("cant_stock")).otherwise(F.lit(0))
-        )
+    rangos = p.rangos(p.semanas_venta), p.rangos(p.semanas_stock)
+    base = _base(
+        ctx,
+        p.cliente,
+        movimientos(ctx, p.cliente, *rangos),
+        p.corte,
+        p.umbral,
+        how=_como(solo_validas),
+        calientes=lambda: ctx.articulos_calientes(p.cliente, *rangos),
+    )
+    return _agrupar_sem_ano(base if solo_validas else _solo_stock_valido(base))
+
+
+def _solo_stock_valido(base: DataFrame) -> DataFrame:
+    valido = F.col("vmt_marca").isNotNull()
+    return base.where(valido | (F.col("n_venta") > 0)).withColumn(
+        "cant_stock", F.when(valido, F.col("cant_stock")).otherwise(F.lit(0))
+    )
+
+
+def _agrupar_sem_ano(base: DataFrame, *mas: str) -> DataFrame:
     ciudad = F.substring(sin_prefijo(F.col("ciudad")), 1, LARGO_CIUDAD)
     return base.groupBy(
+        *mas,
         "ini_cliente",
         F.col("tipo_calc").alias("tipo_programa"),
         "c_l",
@@ -394,3 +516,101 @@ def ventas_sem_ano(ctx: Contexto, p: VentanaAnual, *, solo_validas: bool = False
         "n_sem",
         "ano",
     ).agg(*_unidades())
+
+
+# --- several windows at once ------------------------------------------------------------------
+
+
+def dias_de_ventanas(ventanas: DataFrame, semanas_venta: int, semanas_stock: int) -> DataFrame:
+    """Every day that the windows of (ini_cliente, as_of) rows look at:
+    ini_cliente, corte, fecha and whether sales and stock of the day count. Two
+    spans a window: the weeks up to its cut-off, and those one calendar year
+    before."""
+    corte = corte_semanal(F.col("as_of"))
+    cortes = ventanas.select("ini_cliente", corte.alias("corte")).distinct()
+    finales = F.array(F.col("corte"), F.add_months("corte", -12))
+    tramos = cortes.select("ini_cliente", "corte", F.explode(finales).alias("fin"))
+    atras = 7 * max(semanas_venta, semanas_stock)
+    dias = tramos.select("ini_cliente", "corte", "fin", F.explode(F.sequence(F.date_sub("fin", atras), F.col("fin"))).alias("fecha"))
+    return dias.groupBy("ini_cliente", "corte", "fecha").agg(
+        F.max(F.col("fecha") >= F.date_sub("fin", 7 * semanas_venta)).alias("en_venta"),
+        F.max(F.col("fecha") >= F.date_sub("fin", 7 * semanas_stock)).alias("en_stock"),
+    )
+
+
+def ventas_sem_ano_varias(
+    ctx: Contexto,
+    ventanas: DataFrame,
+    *,
+    umbral: int,
+    semanas_venta: int = SEMANAS_DEFECTO,
+    semanas_stock: int = SEMANAS_DEFECTO,
+    solo_validas: bool = False,
+) -> DataFrame:
+    """``ventas_sem_ano`` for many (ini_cliente, as_of) rows in one run, told
+    apart by ``corte``.
+
+    The windows become a small table of days that the facts join by client and
+    day, so folders of other days are pruned at run time by its values; a line
+    is read once, whatever the number of windows it falls in.
+    """
+    dias = ctx.almacen.guardar("ventanas", dias_de_ventanas(ventanas, semanas_venta, semanas_stock))
+    claves = ["ini_cliente", "fecha"]
+    # The comparison holds for every row; it tells Spark that the side selects.
+    pasados = dias.df.where("fecha <= corte")
+    por_cliente = ("ini_cliente", "corte", *GRANO)
+
+    def en_ventanas(hecho: str, dentro: Column) -> DataFrame:
+        return ctx.fuente.tabla(hecho).join(dias.lado(pasados.where(dentro).select(*claves, "corte")), claves)
+
+    ventas = movimientos_venta(en_ventanas("dwh_ventas", F.col("en_venta")), por_cliente)
+    stock = movimientos_stock(en_ventanas("dwh_stock", F.col("en_stock")), por_cliente)
+    articulos = _articulos_de_clientes(ctx)
+    del_corte = movimientos_stock(en_ventanas("dwh_stock", F.col("fecha") == F.col("corte")), por_cliente)
+    grupos = (
+        articulos(del_corte)
+        .groupBy("ini_cliente", "corte", *[F.col(a).alias(g) for a, g in zip(ATRIBUTOS[1:], CLAVES)])
+        .agg(F.sum("cant_stock").alias("stock_grupo"))
+        .where(F.col("stock_grupo") >= umbral)
+        .select(F.col("ini_cliente").alias("g_cliente"), F.col("corte").alias("g_corte"), *CLAVES)
+    )
+    grupos = ctx.almacen.guardar("grupos-ventanas", grupos)
+    tiendas = ctx.una_vez(
+        ("tiendas-todas",),
+        lambda: ctx.fuente.tabla("tiendas").where(F.col("tipo") == TIPO_TIENDA).select("ini_cliente", F.col("codigo").alias("num_local"), "local", "ciudad"),
+    )
+    movs = articulos(consolidar(ventas.unionByName(stock), por_cliente))
+    valido = (
+        (F.col("ini_cliente") == F.col("g_cliente"))
+        & (F.col("corte") == F.col("g_corte"))
+        & (F.col("marca_calc") == F.col("vmt_marca"))
+        & (F.col("tipo_calc") == F.col("vmt_tipo"))
+        & F.col("fit_calc").eqNullSafe(F.col("vmt_fit"))
+    )
+    base = con_semana(ctx, movs.join(grupos.lado(), valido, _como(solo_validas)).join(tiendas.lado(), ["ini_cliente", "num_local"]))
+    if not solo_validas:
+        base = _solo_stock_valido(base)
+    return _agrupar_sem_ano(base.withColumnRenamed("num_local", "c_l"), "corte")
+
+
+def _articulos_de_clientes(ctx: Contexto) -> Callable[[DataFrame], DataFrame]:
+    """Looks up brand, programme and fit of movements of several clients. Only
+    the brand depends on the client, by its exceptions per subclass."""
+    comunes = ctx.una_vez(("articulos-todos",), lambda: _articulos_comunes(ctx))
+    excepciones = ctx.tabla("marca_subclase")
+    propias = excepciones.lado(
+        excepciones.df.select("ini_cliente", F.col("subcategoria").alias("subclase"), F.col("marca").alias("marca_excepcion"))
+    )
+
+    def buscar(movs: DataFrame) -> DataFrame:
+        df = movs.join(comunes.lado(), "ean", "left").join(propias, ["ini_cliente", "subclase"], "left")
+        return df.withColumn("marca_calc", F.coalesce("marca_excepcion", "marca_comun")).drop("marca_excepcion", "marca_comun", "subclase")
+
+    return buscar
+
+
+def _articulos_comunes(ctx: Contexto) -> DataFrame:
+    sin_excepcion = ctx.tabla("marca_subclase").df.limit(0)
+    con_marca = marca_efectiva(ctx.fuente.tabla("cat_sku"), sin_excepcion, ctx.tabla("marca").lado(), "")
+    con_tipo = con_programa(con_marca, ctx.tabla("monitoreo").lado())
+    return con_tipo.select("ean", "subclase", F.col("marca_calc").alias("marca_comun"), "tipo_calc", "fit_calc")

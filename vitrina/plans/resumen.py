@@ -80,9 +80,16 @@ def subtotales_marca(reporte: DataFrame) -> DataFrame:
 
 def detalle_por_marca(reporte: DataFrame) -> DataFrame:
     """The grid as one table: detail rows (``nivel`` 0) under their brand's
-    subtotal (``nivel`` 1), by brand, fit and week."""
-    detalle = detalle_semanas_evacuacion(reporte).withColumn("nivel", F.lit(0))
-    subtotal = subtotales_marca(reporte).withColumn("nivel", F.lit(1))
-    return detalle.unionByName(subtotal, allowMissingColumns=True).orderBy(
+    subtotal (``nivel`` 1), by brand, fit and week. Both levels are grouping
+    sets of one aggregation, so the report is read once; its rows are unique,
+    as those of any report are."""
+    claves = [c for c in reporte.columns if c not in ("cant_venta", "cant_stock")]
+    niveles = reporte.groupingSets([claves, ["marca"]], *claves).agg(
+        F.sum("cant_venta").alias("cant_venta"),
+        F.sum("cant_stock").alias("cant_stock"),
+        F.grouping("semanas").cast("int").alias("nivel"),
+    )
+    evacuacion = F.when(F.col("nivel") == 0, razon(F.col("cant_stock"), F.col("cant_venta")))
+    return niveles.select(*reporte.columns, evacuacion.alias("sem_evac"), "nivel").orderBy(
         "marca", F.col("nivel").desc(), "fit_estilo", "semanas"
     )

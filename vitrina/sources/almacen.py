@@ -45,6 +45,13 @@ class Medida:
         bytes_ = self.bytes_ and {c: self.bytes_[c] for c in columnas}
         return replace(self, df=self.df.select(*columnas), bytes_=bytes_)
 
+    def solo(self, df: DataFrame) -> "Medida":
+        """A filter of this table that keeps few rows, measured by itself."""
+        textos = [c.name for c in df.schema if isinstance(c.dataType, T.StringType)]
+        fila = df.agg(F.count(F.lit(1)).alias("filas"), *(F.sum(F.octet_length(c)).alias(c) for c in textos)).first()
+        bytes_ = {c: fila["filas"] * BYTES_POR_CAMPO + ((fila[c] or 0) if c in textos else 0) for c in df.columns}
+        return replace(self, df=df, filas=fila["filas"], bytes_=bytes_)
+
     def lado(self, df: DataFrame | None = None) -> DataFrame:
         """This table (or a filter of it) as a join side: broadcast if measured
         small enough, else left to Spark, which sorts and merges or re-plans
@@ -62,7 +69,10 @@ class Almacen:
         self.raiz = f"{carpeta_compartida(spark)}/vitrina-{uuid.uuid4().hex}"
 
     def guardar(self, nombre: str, df: DataFrame, *, medir: bool = True) -> Medida:
-        ruta = self.ruta_nueva(nombre)
+        return self.escribir(self.ruta_nueva(nombre), df, medir=medir)
+
+    def escribir(self, ruta: str, df: DataFrame, *, medir: bool = True) -> Medida:
+        """Write a table to this path, measure it on the way and read it back."""
         escrito = self.spark.read.schema(df.schema)
         if not medir:
             df.write.parquet(ruta)

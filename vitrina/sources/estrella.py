@@ -13,11 +13,10 @@ from collections.abc import Callable, Sequence
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.expresiones import en_rangos
 from ..params import Rango
-from .tablas import Fuente
+from .tablas import Fuente, de_cliente
 
 INSTANTANEAS = (0, 5, 6)  # stock snapshots: Monday, Saturday, Sunday
 
@@ -43,14 +42,14 @@ class FuenteEstrella(Fuente):
     def tabla(self, nombre: str) -> DataFrame:
         return _DERIVADAS[nombre](self)
 
-    def ventas(self, cliente: str, rangos: Sequence[Rango]) -> DataFrame:
+    def ventas(self, cliente: str | None, rangos: Sequence[Rango]) -> DataFrame:
         ventas = _ventas(self._lineas(rangos, margen=0))
-        return ventas.where(F.col("ini_cliente") == cliente).where(en_rangos("fecha", rangos))
+        return de_cliente(ventas, cliente).where(en_rangos("fecha", rangos))
 
-    def stock(self, cliente: str, rangos: Sequence[Rango]) -> DataFrame:
+    def stock(self, cliente: str | None, rangos: Sequence[Rango]) -> DataFrame:
         # A snapshot lies in the same Monday-to-Sunday week as its line.
         stock = _stock(self._lineas(rangos, margen=6))
-        return stock.where(F.col("ini_cliente") == cliente).where(en_rangos("fecha", rangos))
+        return de_cliente(stock, cliente).where(en_rangos("fecha", rangos))
 
     def _lineas(self, rangos: Sequence[Rango], margen: int) -> DataFrame:
         """Lines whose ship date can reach the ranges: the plain comparison on
