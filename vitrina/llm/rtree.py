@@ -47,6 +47,8 @@ COMMON, _NAMED = 1 << 15, 4
 _STRETCH = 1 << 22
 #: Shingles for one group of the count vector, and the fewest and most groups.
 PER_GROUP, _LEAST_GROUPS, _MOST_GROUPS = 4, 16, 4096
+#: Trees of a class that are told along with it.
+_FEW_TREES = 8
 #: Classes in one block of a tree, in one leaf, and leaves in one inner box.
 BLOCK, LEAF, FAN = 400, 16, 8
 
@@ -292,52 +294,78 @@ def _confirmed(work: Workspace, pairs: DataFrame, docs: DataFrame, classes: Data
 
 
 def _open_trees(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members with their component, of the trees of over two classes and more than one component."""
-    labelled = members.join(parts, F.col("id") == F.col("node"), "left").select("tree", "id", "n", F.coalesce("component", "id").alias("component"))
-    found = labelled.groupBy("tree").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members"))
-    return labelled.join(found.where("c1 != c2 and members > 2").select("tree", "members"), "tree")
+    """Members with their component, of trees of over two classes, that have a
+    class of like size and of another component in their tree."""
+    # Like sizes differ by one box at most.
+    box = F.floor(F.log("n") / F.log(F.lit(100 / (SHARED_PERCENT - 1)))).cast("int")
+    labelled = (
+        members.where("members > 2")
+        .join(parts, F.col("id") == F.col("node"), "left")
+        .select("tree", "id", "n", "hub", F.coalesce("component", "id").alias("component"), box.alias("box"))
+    )
+    held = labelled.groupBy("tree", "box").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+    near = held.select("tree", F.explode(F.array(*[F.col("box") + d for d in (-1, 0, 1)])).alias("box"), "c1", "c2")
+    mixed = near.groupBy("tree", "box").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 != c2")
+    return labelled.join(mixed, ["tree", "box"], "left_semi").drop("box")
 
 
 def _searched(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of one tree, but of two components, that may be linked."""
+    """Pairs (a, b) of classes of one tree, but of two components, that may be
+    linked. A pair is left out where one is the least of its tree, as that was
+    compared with all others, and where the `_FEW_TREES` least names of both
+    their trees show an earlier tree that holds both; so it never is in the
+    first of their trees."""
+    sizes = open_.groupBy("tree").agg(F.count(F.lit(1)).alias("members"))
     count = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), count).cast("int")
     cells = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    placed = open_.join(classes.select("id", "n", "counts"), ["id", "n"]).select(
-        "tree", "id", "component", "n", "counts", own.alias("block"), F.explode(cells).alias("cell")
+    columns = ["id", "component", "n", "counts", "few"]
+    few = F.slice(F.sort_array("firsts"), 1, _FEW_TREES).alias("few")
+    placed = (
+        open_.join(sizes, "tree")
+        .join(classes.select("id", "n", "counts", few), ["id", "n"])
+        .select("tree", *columns, (F.col("id") == F.col("hub")).alias("least"), own.alias("block"), F.explode(cells).alias("cell"))
+        .select("tree", "cell.i", "cell.j", *columns, "least", "block")
     )
-    placed = placed.select("tree", "cell.i", "cell.j", "id", "component", "n", "counts", "block")
     cell = ["tree", "i", "j"]
 
-    def one_tree(rows: pa.Table) -> pa.Table:
-        ids = rows.column("id").combine_chunks()
-        sizes, block = rows.column("n").to_numpy(), rows.column("block").to_numpy()
+    def pairs(rows: pa.Table, bounds: np.ndarray) -> pa.Table:
+        """rows holds whole cells, from each bound to the next."""
+        tree, i, j, sizes, block, least = (rows.column(c).to_numpy() for c in (*cell, "n", "block", "least"))
         codes = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        vectors = [vector(data, n) for data, n in zip(rows.column("counts").to_pylist(), sizes, strict=True)]
-        across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        data, few = rows.column("counts"), rows.column("few").combine_chunks()
+        names, ends = few.flatten().to_numpy(), np.concatenate([[0], np.cumsum(few.value_lengths().to_numpy())])
         left, right = [], []
-        for x, found in candidates(vectors, sizes):
-            other = codes[found] != codes[x]
-            if across:
-                other &= block[found] != block[x]
-            found = found[other]
-            left.append(np.full(len(found), x))
-            right.append(found)
-        a, b = (pa.array(np.concatenate(s) if s else np.zeros(0, np.int64), pa.int64()) for s in (left, right))
-        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+        for first, last in zip(bounds, bounds[1:], strict=False):
+            part, n = codes[first:last], sizes[first:last]
+            if last - first <= LEAF:  # one leaf: is there anything to compare?
+                apart = part[:, None] != part
+                if not (apart & like_sizes(n[:, None], n)).any():
+                    continue
+            vectors = [vector(d, k) for d, k in zip(data[first:last].to_pylist(), n, strict=True)]
+            for x, found in candidates(vectors, n):
+                other = (part[found] != part[x]) & ~(least[first + found] | least[first + x])
+                if i[first] != j[first]:
+                    other &= block[first + found] != block[first + x]
+                for y in found[other]:
+                    common = np.intersect1d(*(names[ends[k] : ends[k + 1]] for k in (first + x, first + y)), assume_unique=True)
+                    if not len(common) or common[0] >= tree[first]:
+                        left.append(first + x)
+                        right.append(first + y)
+        ids = rows.column("id")
+        return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            names = np.array([rows.column(c).to_numpy() for c in cell])
-            starts = np.flatnonzero(np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(0)])) if rows.num_rows else np.zeros(0, np.int64)
-            for first, last in zip(starts, starts[1:], strict=False):
-                yield from one_tree(rows.slice(first, last - first)).to_batches()
-            rest = rows.slice(starts[-1]) if len(starts) else None
-        if rest is not None:
-            yield from one_tree(rest).to_batches()
+            cells = np.array([rows.column(c).to_numpy() for c in cell])
+            bounds = np.flatnonzero(np.concatenate([[True], (cells[:, 1:] != cells[:, :-1]).any(0)])) if rows.num_rows else np.zeros(1, np.int64)
+            yield from pairs(rows, bounds).to_batches()
+            rest = rows.slice(bounds[-1])
+        if rest is not None and rest.num_rows:
+            yield from pairs(rest, np.array([0, rest.num_rows])).to_batches()
 
     kind = open_.schema["id"].dataType.simpleString()
     dealt = placed.repartition(*cell).sortWithinPartitions(*cell)
@@ -358,7 +386,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     spread = classes.select("id", "n", F.explode("firsts").alias("tree"))
     trees = spread.groupBy("tree").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("hub"), F.min_by("n", "id").alias("n_hub"))
-    members = work.write(spread.join(trees.where("members > 1").drop("members"), "tree"), "members")
+    members = work.write(spread.join(trees.where("members > 1"), "tree"), "members")
 
     # A document whose rows differ belongs to several classes, and links them to the least.
     named = full.join(classes.select("k1", "k2", F.col("id").alias("class")), ["k1", "k2"]).select("id", "class").distinct()
@@ -372,7 +400,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     parts = work.write(components(work, links), "parts")
 
     open_ = work.write(_open_trees(members, parts), "open")
+    work.drop(members)
     links = work.write(links.unionByName(confirmed(_searched(open_, classes))), "links")
+    work.drop(open_)
     parts = work.write(components(work, links), "parts")
 
     by_class = classes.select("k1", "k2", F.col("id").alias("class")).join(parts, F.col("class") == F.col("node"), "left")
