@@ -285,13 +285,16 @@ def collocations(docs: DataFrame) -> DataFrame:
         often = block.flags(1, known.value) > 0
         return often[:-1] & often[1:]
 
-    pairs = work.write(_phrase_counts(docs, 2, both_frequent).where(F.col("f") >= LEAST), "pair-counts")
-    pairs = work.write(_pairs(pairs, frequent), "pairs")
+    counted = work.write(_phrase_counts(docs, 2, both_frequent).where(F.col("f") >= LEAST), "pair-counts")
+    pairs = work.write(_pairs(counted, frequent), "pairs")
+    work.drop(counted)
 
     open_, rank, settled = words.select("lang").distinct(), START, []
     while True:
         frontier = work.write(_frontiers(pairs, open_, rank), "frontier")
-        found = work.write(_grown(work, docs, pairs, frontier), "survivors")
+        grown, used = _grown(work, docs, pairs, frontier)
+        found = work.write(grown, "survivors")
+        work.drop(*used)
         counts = frontier.join(found.groupBy("lang").agg(F.count(F.lit(1)).alias("found")), "lang", "left")
         done = F.coalesce("found", F.lit(0)) >= TOP
         done = done | (F.col("t") == 0)
@@ -313,8 +316,9 @@ def collocations(docs: DataFrame) -> DataFrame:
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _grown(work: Workspace, docs: DataFrame, pairs: DataFrame, frontier: DataFrame) -> DataFrame:
-    """lang, w1 to w4, a, l, r, score of all phrases of at least the frontier's score that no longer one drops."""
+def _grown(work: Workspace, docs: DataFrame, pairs: DataFrame, frontier: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """lang, w1 to w4, a, l, r, score of all phrases of at least the frontier's
+    score that no longer one drops; and the tables that this is read from."""
     broadcast = docs.sparkSession.sparkContext.broadcast
     high = F.col("score") >= F.col("t")
     pairs = pairs.join(frontier, "lang")
@@ -326,8 +330,9 @@ def _grown(work: Workspace, docs: DataFrame, pairs: DataFrame, frontier: DataFra
         first, last = pair[:-1], pair[1:]
         return ((first & last & _FREQUENT) > 0) & (((first & _GROWS_RIGHT) | (last & _GROWS_LEFT)) > 0)
 
-    triples = work.write(_phrase_counts(docs, 3, third_word).where(F.col("f") >= LEAST), "triple-counts")
-    triples = work.write(_triples(triples, pairs).join(frontier, "lang"), "triples")
+    counted = work.write(_phrase_counts(docs, 3, third_word).where(F.col("f") >= LEAST), "triple-counts")
+    triples = work.write(_triples(counted, pairs).join(frontier, "lang"), "triples")
+    work.drop(counted)
     flags = (
         _flag(_GROWS_RIGHT, _reaches("f_1") & _reaches("f_12")) + _flag(_GROWS_LEFT, _reaches("f_3") & _reaches("f_23")) + _flag(_HIGH, high)
     )
@@ -338,8 +343,9 @@ def _grown(work: Workspace, docs: DataFrame, pairs: DataFrame, frontier: DataFra
         first, last = triple[:-1], triple[1:]
         return (((first & _GROWS_RIGHT) > 0) & ((last & _GROWS_LEFT) > 0)) | (((first | last) & _HIGH) > 0)
 
-    fours = work.write(_phrase_counts(docs, 4, fourth_word).where(F.col("f") >= LEAST), "four-counts")
-    fours = work.write(_fours(fours, triples, pairs).join(frontier, "lang"), "fours")
+    counted = work.write(_phrase_counts(docs, 4, fourth_word).where(F.col("f") >= LEAST), "four-counts")
+    fours = work.write(_fours(counted, triples, pairs).join(frontier, "lang"), "fours")
+    work.drop(counted)
 
     none = F.lit(None).cast("long")
     kept = [
@@ -348,4 +354,5 @@ def _grown(work: Workspace, docs: DataFrame, pairs: DataFrame, frontier: DataFra
         fours.where(high),
     ]
     columns = ["lang", "w1", "w2", "w3", "w4", F.col("f").alias("a"), "l", "r", "score"]
-    return kept[0].select(*columns).unionByName(kept[1].select(*columns)).unionByName(kept[2].select(*columns))
+    found = kept[0].select(*columns).unionByName(kept[1].select(*columns)).unionByName(kept[2].select(*columns))
+    return found, [triples, fours]

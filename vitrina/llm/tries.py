@@ -79,7 +79,9 @@ def _turns(conversations: DataFrame, work: Workspace) -> tuple[DataFrame, DataFr
     before = W.partitionBy("c").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = spans.select("c", "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
     turns = placed.join(offsets, ["c", "part"]).select("c", (F.col("at") + F.col("shift")).alias("pos"), "a", "b", "chars")
-    return work.write(turns, "turns"), spans.groupBy("c").agg(F.sum("rows").alias("total"))
+    turns = work.write(turns, "turns")
+    work.drop(placed)
+    return turns, spans.groupBy("c").agg(F.sum("rows").alias("total"))
 
 
 def rebuilt(turns: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,11 +160,14 @@ def rolled_up(work: Workspace, members: DataFrame, figures: DataFrame, deepest:
     inside = work.write(_summed(_sent_up(ways.where("not below"), figures)), "inside")
     wider = unit * BAND
     if deepest < wider:
+        work.drop(ways)
         return inside
     tops = inside.where(F.col("depth") % wider == 0)
     completed = rolled_up(work, members.where(F.col("depth") % wider == 0), tops, deepest, wider)
     across = _sent_up(ways.where("below"), completed)
-    return work.write(_summed(inside.unionByName(across)), "totals")
+    totals = work.write(_summed(inside.unionByName(across)), "totals")
+    work.drop(ways, inside, completed)
+    return totals
 
 
 def _digests(ends: DataFrame, work: Workspace) -> DataFrame:
@@ -212,9 +217,10 @@ def _null_long() -> Column:
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """Per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     work = Workspace(conversations.sparkSession, "trie")
-    turns, totals = _turns(conversations, work)
-    turns, silent = rebuilt(turns, totals)
+    placed, totals = _turns(conversations, work)
+    turns, silent = rebuilt(placed, totals)
     steps = work.write(_steps(turns), "steps")
+    work.drop(placed)
     members = steps.select("c", *_KEY).unionByName(_root(totals.select("c")))
 
     nodes = steps.groupBy(*_KEY).agg(
@@ -228,7 +234,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
     parent = [(F.col("depth") - 1).alias("depth"), F.col("p1").alias("s1"), F.col("p2").alias("s2")]
     children = nodes.where("depth > 0").select(*parent).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = work.write(nodes.join(children, _KEY, "left").fillna(0, ["n_children"]), "with-children")
+    childless, nodes = nodes, work.write(nodes.join(children, _KEY, "left").fillna(0, ["n_children"]), "with-children")
+    work.drop(childless)
 
     figures = nodes.select(
         *_KEY, F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")
@@ -236,12 +243,13 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     sums = rolled_up(work, members, figures, deepest)
 
-    ends = steps.where("last").select("c", *_KEY).unionByName(_root(silent))
+    digests = _digests(steps.where("last").select("c", *_KEY).unionByName(_root(silent)), work)
+    work.drop(steps)
     above = nodes.select(F.col("depth").alias("d"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     above = above.withColumn("depth", F.col("d") + 1).drop("d")
     return (
         nodes.join(sums, _KEY)
-        .join(_digests(ends, work), _KEY, "left")
+        .join(digests, _KEY, "left")
         .join(above, ["depth", "p1", "p2"], "left")
         .select(
             "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
