@@ -1,0 +1,94 @@
+"""The conversation trie against dictionaries of prefixes."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from vitrina.llm import tries
+
+pytestmark = pytest.mark.usefixtures("sin_codegen")
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth string"  # depth: a name that results use too
+
+
+def brute(rows):
+    turns = {}
+    for c, turn, role, text, _ in rows:
+        if c is not None:
+            turns.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in turns.items()}
+    members, last = {}, {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        base = own.get(c - (c % 100 if c >= 0 else -(-c % 100)), [])
+        path = tuple(base[:h] + own[c][h:])
+        last.setdefault(path, []).append(c)
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    children = {p: 0 for p in members}
+    for p in members:
+        if p:
+            children[p[:-1]] += 1
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for p, cs in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += children[p] == 0
+            saved[p[:d]] += (len(cs) - 1) * (len(p[-1][1]) if p else 0)
+    return sorted(
+        (
+            min(cs), len(p), min(members[p[:-1]]) if p else -1, len(cs), children[p], leaves[p], saved[p],
+            hashlib.sha256(",".join(map(str, sorted(last.get(p, [])))).encode()).hexdigest(),
+        )
+        for p, cs in members.items()
+    )
+
+
+def found(df):
+    return sorted(
+        (r.conv_id, r.depth, -1 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256)
+        for r in df.collect()
+    )
+
+
+def conversations(seed, ids, most, words=3):
+    random_ = random.Random(seed)
+    names = ["a", "bé", "🙂 c", "", None][:words]
+    return [(c, t, random_.choice(["user", "assistant"]), random_.choice(names), "x") for c in ids for t in range(random_.randrange(most + 1))]
+
+
+def test_trie(spark, monkeypatch):
+    """Deep and shallow conversations, several bands and families, long and short id lists."""
+    monkeypatch.setattr(tries, "BAND", 4)
+    monkeypatch.setattr(tries, "BLOCK", 4)
+    monkeypatch.setattr(tries, "STRETCH_BITS", 2)
+    rows = conversations(1, [*range(30), *range(100, 130), -5, -100, -105, 777], 7, 2) + conversations(2, [205, 209, 231], 40, 1)
+    random.Random(3).shuffle(rows)
+    assert found(tries.prefix_trie(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_odd_conversations(spark):
+    """Nulls in any column, one turn number twice, repeated rows, no turns left, a very long text."""
+    rows = [
+        (None, 0, "user", "no conversation", "x"),
+        (0, None, "user", "null first", "x"),
+        (0, 0, None, None, None),
+        (0, 0, "b", "y", "x"),
+        (0, 0, "a", "z", "x"),
+        (0, 0, "a", "z", "x"),
+        (1, 3, "user", "x" * 100_000, "x"),
+        (1, -1, "user", "", "x"),
+        *[(c, t, "user", "same", "x") for c in (2, 3, 205, 206) for t in range(2)],
+    ]
+    assert found(tries.prefix_trie(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_no_conversation(spark):
+    assert tries.prefix_trie(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert tries.prefix_trie(spark.createDataFrame([(None, 1, "user", "a", "x")], SCHEMA)).count() == 0
+
+
+def test_one_conversation_over_many_tasks(spark):
+    rows = [(7, t, "user", f"turn {t % 5}", "x") for t in range(3000)] + [(8, t, "user", "turn 0", "x") for t in range(4)]
+    assert found(tries.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
