@@ -21,9 +21,9 @@ for less than by the shingles of all places.
   compared across components, but only those that share one of their rarest
   shingles: two sets over the threshold share one among the rarest 15 % of each,
   ranked high enough in both to leave room for the overlap (prefix and position
-  filtering), so this loses no link and needs no cap. Pairs whose
-  estimate from two bits of each minimum is below 40 %, over 5 standard errors
-  under the threshold, are left out before where both sets have 20 shingles or more.
+  filtering), so this loses no link and needs no cap. Before any comparison a
+  pair is bounded by parities: each set has 256 bits, a bit is the parity of the
+  shingles that hash to it, and no more bits differ than shingles do.
 
 Lines without a word (see vitrina.llm.texts) always stay and link nothing. Null
 texts have no lines. Equal rows count as one document and are treated alike;
@@ -44,10 +44,8 @@ from vitrina.llm.shared import Workspace
 
 SHARED_PERCENT = 85
 BANDS, ROWS = 10, 4
-#: Lanes of two bits in which the minima of a pair over the threshold may differ at most.
-DIFFERING = 18
-#: Smaller sets are not judged by lanes, as one shingle wins many neighbouring ones.
-FEW = 20
+#: Words of 64 parity bits of a set.
+PARITIES = 4
 #: Hubs that each bucket tries, as long as it holds several components.
 TURNS = 2
 
@@ -105,7 +103,7 @@ def _further(word: Column) -> Column:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """id, copies, first_doc, bands and low_0, low_1 (low bits of the minima) of each distinct line."""
+    """id, copies, first_doc and bands of each distinct line."""
     # The exchange by id serves both aggregations.
     distinct = lines.groupBy("id").agg(F.any_value("line").alias("line"), F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{j}") for j, mask in enumerate(_masks())]
@@ -115,19 +113,30 @@ def _classes(lines: DataFrame) -> DataFrame:
         .agg(F.min("first_doc").alias("first_doc"), F.min("copies").alias("copies"), *least)
     )
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    half = BANDS * ROWS // 2
-    low = [
-        reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{first + j}").bitwiseAND(F.lit(3)), 2 * j) for j in range(half)])
-        for first in (0, half)
-    ]
-    return signed.select("id", "first_doc", "copies", F.array(*bands).alias("bands"), low[0].alias("low_0"), low[1].alias("low_1"))
+    return signed.select("id", "first_doc", "copies", F.array(*bands).alias("bands"))
 
 
-def _differing(one: str, other: str) -> Column:
-    """Lanes of two bits that are not equal."""
-    x = F.col(one).bitwiseXOR(F.col(other))
-    lanes = int("01" * (BANDS * ROWS // 2), 2)
-    return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(lanes)))
+def _parities() -> list[Column]:
+    """p0 to p3 of a set: its shingles, each at the bit that its hash names, by exclusive or."""
+
+    def word(number: int) -> Column:
+        own = F.filter("shingles", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(PARITIES - 1)) == number)
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(bit(h)))
+
+    return [word(j).alias(f"p{j}") for j in range(PARITIES)]
+
+
+_BOUNDS = ["n", *[f"p{j}" for j in range(PARITIES)]]
+
+
+def _may_link(one: Column, other: Column) -> Column:
+    """Whether sizes and parities leave room for a link: of n and m shingles two
+    linked sets differ in (n + m) * 15 / 185 at most."""
+    n, m = one["n"], other["n"]
+    differ = reduce(Column.__add__, [F.bit_count(one[p].bitwiseXOR(other[p])) for p in _BOUNDS[1:]])
+    like = F.least(n, m) * 100 >= F.greatest(n, m) * SHARED_PERCENT
+    return like & (differ * (100 + SHARED_PERCENT) <= (n + m) * (100 - SHARED_PERCENT))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -141,14 +150,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _to_hubs(mixed: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each class and a hub of its bucket that is of another component."""
-    hubs = mixed.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("hub"))
-    apart = mixed.join(hubs, "bucket").where("component != hub.component")
+    hubs = mixed.groupBy("bucket").agg(F.min_by(F.struct("id", "component", *_BOUNDS), F.xxhash64("id", F.lit(turn))).alias("hub"))
+    own = F.struct(*_BOUNDS)
+    apart = mixed.join(hubs, "bucket").where("component != hub.component").where(_may_link(own, F.col("hub")))
     return apart.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
 def _across(work: Workspace, mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles."""
-    open_ = mixed.select("id", "component").distinct()
+    open_ = mixed.select("id", "component", *_BOUNDS).distinct()
     shingles = sets.join(open_, "id", "left_semi").select("id", F.explode("shingles").alias("h"))
     number = work.write(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1"), "counts")
     ranked = (
@@ -161,19 +171,19 @@ def _across(work: Workspace, mixed: DataFrame, sets: DataFrame) -> DataFrame:
     # A shingle of one line only brings no line together.
     placed = F.transform(prefix, lambda x, i: F.struct(x["h"].alias("h"), i.alias("rank"), x["lines"].alias("lines")))
     common = F.filter(placed, lambda x: x["lines"] > 1)
-    rare = work.write(ranked.select("id", n.alias("n"), common.alias("rare")), "rare")
-    placed = rare.where("size(rare) > 0").join(open_, "id").join(sets.select("id", "low_0", "low_1"), "id")
-    placed = placed.select("id", "component", "n", "low_0", "low_1", F.inline("rare")).drop("lines")
+    rare = work.write(ranked.select("id", common.alias("rare")), "rare")
+    placed = rare.where("size(rare) > 0").join(open_, "id")
+    placed = placed.select("id", "component", *_BOUNDS, F.inline("rare")).drop("lines")
     several = placed.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("h")
     placed = work.write(placed.join(several, "h"), "placed")
-    other = placed.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "component", "n", "rank", "low_0", "low_1")])
+    other = placed.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "component", "rank", *_BOUNDS)])
     # What ranks before the rarest common shingle is not shared, so it bounds the rest.
     most = F.least(F.col("n") - F.col("rank"), F.col("b_n") - F.col("b_rank"))
     fits = (
         (F.col("id") < F.col("b_id"))
         & (F.col("component") != F.col("b_component"))
         & (most * (100 + SHARED_PERCENT) >= (F.col("n") + F.col("b_n")) * SHARED_PERCENT)
-        & ((F.least("n", "b_n") < FEW) | (_differing("low_0", "b_low_0") + _differing("low_1", "b_low_1") <= DIFFERING))
+        & _may_link(F.struct(*_BOUNDS), F.struct(*[F.col(f"b_{c}").alias(c) for c in _BOUNDS]))
     )
     pairs = work.write(placed.join(other, "h").where(fits).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     work.drop(number, rare, placed)
@@ -183,7 +193,7 @@ def _across(work: Workspace, mixed: DataFrame, sets: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members with their component, of the buckets that hold more than one."""
     labelled = members.join(parts, F.col("id") == F.col("node"), "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("component")
+        "bucket", "id", *_BOUNDS, F.coalesce("component", "id").alias("component")
     )
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
     return labelled.join(open_.where("c1 != c2").select("bucket"), "bucket")
@@ -198,12 +208,11 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     shared = work.write(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
     members = work.write(spread.join(shared, "bucket"), "members")
     work.drop(shared)
-    wanted = classes.select("id", "low_0", "low_1").join(members.select("id"), "id", "left_semi")
-    texts = lines.select("id", "line").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
+    texts = lines.select("id", "line").join(members.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
     sets = _hashed(texts).groupBy("id").agg(F.collect_set("h").alias("shingles"))
-    sets = work.write(sets.join(wanted, "id"), "sets")
+    sets = work.write(sets.select("id", "shingles", F.size("shingles").alias("n"), *_parities()), "sets")
 
-    mixed = work.write(members.select("bucket", "id", F.col("id").alias("component")), "mixed")
+    mixed = work.write(members.join(sets.select("id", *_BOUNDS), "id").withColumn("component", F.col("id")), "mixed")
     work.drop(members)
     links = None
     for turn in range(TURNS):
@@ -211,7 +220,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         links = work.write(found if links is None else links.unionByName(found), "links")
         parts = components(work, links)
         # Buckets that hold one component are done with.
-        still = work.write(_mixed(mixed.select("bucket", "id"), parts), "mixed")
+        still = work.write(_mixed(mixed.drop("component"), parts), "mixed")
         work.drop(mixed)
         mixed = still
     pairs = _across(work, mixed, sets)
