@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = work.write(stage(spark, docs, sf_dir), name)
+        before, docs = docs, work.write(stage(spark, docs, sf_dir), name)
+        work.drop(before)  # a stage's table goes once the next has read it; the given documents stay
     return docs
