@@ -28,11 +28,13 @@ SELECCION = {"tipo_programa": "basico", "marca": ["M1", "M2", "M3"]}
 SELECCION_TIENDA = {"tipo_programa": ["basico", "programa"]}
 SEMANAS = ["2001-08-19 Sem 33", "2001-09-02 Sem 35"]
 
-# The subpackage and its pipeline are an addition that may be absent.
+# The subpackage and its pipeline are an addition that may be absent; any other import that fails is an error.
 try:
     import corpus_pipeline
     from vitrina.llm import queries as llm
-except ImportError:
+except ModuleNotFoundError as falta:
+    if falta.name not in ("corpus_pipeline", "vitrina.llm"):
+        raise
     corpus_pipeline = llm = None
 
 Consulta = Callable[[SparkSession, str], DataFrame]
@@ -308,6 +310,7 @@ _PLANES: dict[str, Callable[[Contexto, int], DataFrame]] = {
     "etiquetas_color": lambda c, u: participacion.etiquetas_color(
         participacion.participacion_color(_por_color(c, u))
     ),
+    "titulos_tienda": lambda c, u: participacion.titulos_tienda(participacion.participacion_color_tienda(_por_color(c, u))),
     "etiquetas_color_tienda": lambda c, u: participacion.etiquetas_color(
         participacion.participacion_color_tienda(_por_color(c, u)), participacion.TIENDA
     ),

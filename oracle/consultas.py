@@ -378,6 +378,8 @@ def consultas() -> dict[str, str]:
                {_pct('s', '(sum(s) OVER (PARTITION BY ciudad, local))')} AS pct_participacion_stock
         FROM local_tono""",
     )
+    q["titulos_tienda"] = f"""
+    SELECT DISTINCT ciudad, local, local || ' - ' || substring(ciudad, 6) AS titulo FROM ({q["participacion_color_tienda"]})"""
     q["etiquetas_color"] = consulta(
         *_COLOR_TALLA,
         R_COLOR,

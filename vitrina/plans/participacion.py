@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expresiones import porcentaje, texto_pct
+from ..functions.expresiones import porcentaje, sin_prefijo, texto_pct
 from ..functions.tallas import ORDEN_TALLAS, posicion_talla
 from ..params import CORTE_COLOR, CORTE_TALLA
 
@@ -94,6 +94,12 @@ def participacion_color_tienda(por_color: DataFrame, min_pct: float = CORTE_COLO
     ).select(*TIENDA, *CLAVES_COLOR, "cant_venta", "cant_stock", "pct_participacion_venta", "pct_participacion_stock")
 
 
+def titulos_tienda(participacion: DataFrame) -> DataFrame:
+    """Title of each store's chart: its name and its city without the prefix."""
+    titulo = F.concat("local", F.lit(" - "), sin_prefijo(F.col("ciudad")))
+    return participacion.select(*TIENDA, titulo.alias("titulo")).distinct().orderBy(*TIENDA)
+
+
 def etiquetas_color(participacion: DataFrame, grupo: Sequence[str] = ()) -> DataFrame:
     """Totals of the colour name on each of its shades, and label texts on the
     last shade of the name in display order. Overall that is share descending,
