@@ -118,12 +118,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
                 F.struct(
                     F.length("r.rule").alias("n"), F.col("r.host_length").alias("h"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict")
                 )
-            ).alias("r")
+            ).alias("__rule")
         )
     )
     kept = [c for c in split.columns if c not in ("rule", "verdict")]
     return split.select(*kept).join(found, ["host", "path"], "left").select(
-        *kept, F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict")
+        *kept, F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", F.lit(default)).alias("verdict")
     )
 
 
