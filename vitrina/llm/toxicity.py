@@ -110,6 +110,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, rate: float = 0
             error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y[chosen]) * share[chosen] / len(chosen)
             bias_sum += error.sum() ** 2
             bias -= rate * error.sum() / np.sqrt(bias_sum)
+            if not len(slots):
+                continue
             touched, where = np.unique(slots, return_inverse=True)
             slope = np.bincount(where, error[row], len(touched)) + decay * weight[touched]
             weight_sum[touched] += slope**2
