@@ -138,7 +138,7 @@ def _anchor_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _window_rows(marked: DataFrame) -> DataFrame:
-    """w1, w2, id and start of the windows whose anchors are all shared."""
+    """w1, w2 and id of the windows whose anchors are all shared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +148,12 @@ def _window_rows(marked: DataFrame) -> DataFrame:
                 marks = part.column(part.schema.get_field_index("marks"))
                 sequences = Sequences(names, words.bounds)
                 shared = np.zeros(len(sequences.hashes), bool)
-                marked = marks.flatten().to_numpy() + np.repeat(words.bounds[:-1], marks.value_lengths().to_numpy())
-                shared[np.searchsorted(sequences.place, marked)] = True
+                # Rows of one id share their marks; those of another text mean no harm but may lie beyond this one.
+                lengths = marks.value_lengths().to_numpy()
+                at = marks.flatten().to_numpy()
+                marked = (at + np.repeat(words.bounds[:-1], lengths))[at < np.repeat(words.counts(), lengths)]
+                named = np.searchsorted(sequences.place, marked)
+                shared[named[named < len(shared)]] = True
                 begin, end = sequences.unlike(shared)
                 # A window start from end - WINDOW + 1 to begin - 1 takes such a range in.
                 edge = np.zeros(len(names) + 1, np.int64)
@@ -167,18 +171,18 @@ def _window_rows(marked: DataFrame) -> DataFrame:
                     w1, w2 = windows(names[first:last])
                     fresh = ~again_inside(w1[starts], w2[starts])
                     starts = starts[fresh]
-                    found.append((w1[starts], w2[starts], np.full(len(starts), i), starts))
+                    found.append((w1[starts], w2[starts], np.full(len(starts), i)))
                 if not found:
                     continue
-                w1, w2, owner, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+                w1, w2, owner = (np.concatenate(x) for x in zip(*found, strict=True))
                 ids = part.column(part.schema.get_field_index("id")).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.astype(np.uint32).view(np.int32)), ids, pa.array(starts.astype(np.int32))],
-                    ["w1", "w2", "id", "start"],
+                    [pa.array(w1.view(np.int64)), pa.array(w2.astype(np.uint32).view(np.int32)), ids],
+                    ["w1", "w2", "id"],
                 )
 
     kind = marked.schema["id"].dataType.simpleString()
-    return marked.mapInArrow(run, f"w1 long, w2 int, id {kind}, start int")
+    return marked.mapInArrow(run, f"w1 long, w2 int, id {kind}")
 
 
 def _cut(words: Spans, gone: np.ndarray) -> list[bytes]:
@@ -210,11 +214,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = work.write(_window_rows(texts.join(marks, "id")), "windows")
     owners = named.groupBy("w1", "w2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
     later = named.join(owners.drop("last"), ["w1", "w2"]).where("id > owner")
-    starts = work.write(later.groupBy("id").agg(F.collect_set("start").alias("starts")), "starts")
+    # By name, not by place: rows of one id may hold different texts.
+    known = work.write(later.groupBy("id").agg(F.collect_set("w1").alias("known")), "known")
     work.drop(named)
 
     # Documents without a shared anchor repeat nothing, not even themselves.
-    flags = marks.select("id").join(starts, "id", "left").select(F.col("id").alias("__id"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    flags = marks.select("id").join(known, "id", "left").select(F.col("id").alias("__id"), F.coalesce("known", F.array().cast("array<long>")).alias("known"))
     joined = texts.join(flags, F.col("id") == F.col("__id"), "left").drop("__id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +227,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for part, found in blocks(batch, "text"):
                 words = found.words()
                 gone = np.zeros(len(words), bool)
-                ids, lists = (part.column(part.schema.get_field_index(c)) for c in ("id", "starts"))
+                ids, lists = (part.column(part.schema.get_field_index(c)) for c in ("id", "known"))
                 names = words.hashes()
                 for i in range(found.n):
                     if not lists[i].is_valid and ids[i].is_valid:
@@ -230,9 +235,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     first, last = words.bounds[i], words.bounds[i + 1]
                     if last - first < WINDOW:
                         continue
-                    hit = again_inside(*windows(names[first:last]))
-                    if lists[i].is_valid:
-                        hit[lists[i].values.to_numpy()] = True
+                    w1, w2 = windows(names[first:last])
+                    hit = again_inside(w1, w2)
+                    if lists[i].is_valid and len(lists[i]):
+                        hit |= np.isin(w1.view(np.int64), lists[i].values.to_numpy())
                     edge = np.zeros(last - first + 1, np.int64)
                     at = np.flatnonzero(hit)
                     edge[at] += 1
@@ -245,4 +251,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return joined.select("id", "text", "starts").mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept_text string")
+    return joined.select("id", "text", "known").mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept_text string")
