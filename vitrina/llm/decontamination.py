@@ -227,6 +227,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs whose key is not that of a text that holds a test item."""
-    held = contaminated(docs, benchmark, key, text, item, item_text).select(F.col(key).alias("__held")).distinct()
-    return docs.join(held, F.col(key).eqNullSafe(F.col("__held")), "left_anti")
+    """The rows of docs whose text holds no test item. Rows are told apart by a
+    hash of key and text, so rows with one key, or none, are judged each by itself."""
+    row = F.xxhash64(key, text)
+    held = contaminated(docs.select(row.alias("__row"), text), benchmark, "__row", text, item, item_text).select(F.col("__row").alias("__held")).distinct()
+    return docs.join(held, row == F.col("__held"), "left_anti")
