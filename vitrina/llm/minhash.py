@@ -232,9 +232,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     wanted = members.select("id").distinct().join(classes.select("id", "n", "k1"), "id")
     sets = work.write(_full_sets(docs, wanted, key, text), "sets")
 
-    # A document whose rows differ belongs to several classes, and links them.
-    named = full.join(classes.select("k1", "k2", F.col("id").alias("class")), ["k1", "k2"])
-    torn = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("a", "b")
+    # A document whose rows differ belongs to several classes, and links them to the least.
+    named = full.join(classes.select("k1", "k2", F.col("id").alias("class")), ["k1", "k2"]).select("id", "class").distinct()
+    torn = named.join(named.groupBy("id").agg(F.min("class").alias("a")), "id").where("a != class").select("a", F.col("class").alias("b"))
 
     pairs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = work.write(_confirmed(pairs, sets).unionByName(torn), "links")
@@ -269,9 +269,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, without near-duplicates: of each
     component the document with the least id, and of rows with one id that whose
-    text sorts first. Rows without an id stay."""
+    text sorts first, a null text last. Rows without an id stay."""
     stay = near_duplicates(docs, key, text).where("kept").select(F.col(key).alias("__stays")).where("__stays is not null").distinct()
     named = docs.where(F.col(key).isNotNull()).join(stay, F.col(key) == F.col("__stays"), "left_semi")
-    first = F.row_number().over(W.partitionBy(key).orderBy(text))
+    first = F.row_number().over(W.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))
     single = named.withColumn("__row", first).where("__row = 1").drop("__row")
     return single.unionByName(docs.where(F.col(key).isNull()))
