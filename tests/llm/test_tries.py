@@ -90,5 +90,5 @@ def test_no_conversation(spark):
 
 
 def test_one_conversation_over_many_tasks(spark):
-    rows = [(7, t, "user", f"turn {t % 5}", "x") for t in range(3000)] + [(8, t, "user", "turn 0", "x") for t in range(4)]
+    rows = [(7, t, "user", f"turn {t % 5}", "x") for t in range(250)] + [(8, t, "user", "turn 0", "x") for t in range(4)]
     assert found(tries.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
