@@ -28,7 +28,8 @@ ESQUEMA = (
     "ini_cliente string, num_local string, ean string, fecha date, cant_venta long, cant_stock long,"
     " importe decimal(33,2), n_venta long, n_stock long"
 )
-_ESTADO = tuple(f"{campo}_{hecho}" for hecho in HECHOS for campo in ("filas", "huella"))
+_CAMPOS = ("filas", "huella")
+_ESTADO = tuple(f"{campo}_{hecho}" for hecho in HECHOS for campo in _CAMPOS)
 
 
 @dataclass(frozen=True)
@@ -112,13 +113,11 @@ class Mart(Fuente):
     def _estado_de_los_hechos(self) -> DataFrame:
         """Per day the rows and the hash sum of each fact table."""
         por_hecho = [
-            self.base.dias(n).select(
-                "fecha", *[F.col(c.split("_")[0]).alias(c) if c.endswith(n) else F.lit(None).cast("decimal(38,0)").alias(c) for c in _ESTADO]
-            )
+            self.base.dias(n).select("fecha", *[F.col(c).cast("decimal(38,0)").alias(f"{c}_{n}") for c in _CAMPOS])
             for n in HECHOS
         ]
-        juntos = por_hecho[0].unionByName(por_hecho[1]).where("fecha is not null")
-        return juntos.groupBy("fecha").agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in _ESTADO])
+        juntos = por_hecho[0].unionByName(por_hecho[1], allowMissingColumns=True).where("fecha is not null")
+        return juntos.groupBy("fecha").agg(*[F.sum(c).alias(c) for c in _ESTADO])
 
     @staticmethod
     def _diferencias(previsto: DataFrame, antes: DataFrame) -> tuple[list[date], list[date]]:
