@@ -173,10 +173,13 @@ def _across(work: Workspace, mixed: DataFrame, sets: DataFrame) -> DataFrame:
     common = F.filter(placed, lambda x: x["lines"] > 1)
     rare = work.write(ranked.select("id", common.alias("rare")), "rare")
     placed = rare.where("size(rare) > 0").join(open_, "id")
-    placed = placed.select("id", "component", *_BOUNDS, F.inline("rare")).drop("lines")
+    earlier = lambda i: F.transform(F.slice("rare", F.lit(1), i), lambda y: y["h"]).alias("earlier")
+    placed = placed.select(
+        "id", "component", *_BOUNDS, F.inline(F.transform("rare", lambda x, i: F.struct(x["h"].alias("h"), x["rank"].alias("rank"), earlier(i))))
+    )
     several = placed.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("h")
     placed = work.write(placed.join(several, "h"), "placed")
-    other = placed.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "component", "rank", *_BOUNDS)])
+    other = placed.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "component", "rank", "earlier", *_BOUNDS)])
     # What ranks before the rarest common shingle is not shared, so it bounds the rest.
     most = F.least(F.col("n") - F.col("rank"), F.col("b_n") - F.col("b_rank"))
     fits = (
@@ -184,6 +187,8 @@ def _across(work: Workspace, mixed: DataFrame, sets: DataFrame) -> DataFrame:
         & (F.col("component") != F.col("b_component"))
         & (most * (100 + SHARED_PERCENT) >= (F.col("n") + F.col("b_n")) * SHARED_PERCENT)
         & _may_link(F.struct(*_BOUNDS), F.struct(*[F.col(f"b_{c}").alias(c) for c in _BOUNDS]))
+        # A pair is taken at the first shingle that both have.
+        & ~F.arrays_overlap("earlier", "b_earlier")
     )
     pairs = work.write(placed.join(other, "h").where(fits).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     work.drop(number, rare, placed)
