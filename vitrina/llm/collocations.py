@@ -48,7 +48,7 @@ START, STEP = 2 * TOP, 4
 SLOTS_BITS, _PAGE_BITS = 24, 12
 SLOTS = 1 << SLOTS_BITS
 #: Bytes of text cut at once, phrases that are added up together, and rows of a batch sent on.
-_TEXT, _POOL, _SENT = 1 << 20, 1 << 19, 1 << 16
+_TEXT, _POOL, _SENT = 1 << 19, 1 << 18, 1 << 15
 
 _FREQUENT, _GROWS_RIGHT, _GROWS_LEFT, _HIGH = 1, 2, 4, 8
 
