@@ -2,10 +2,12 @@
 
 import datetime as dt
 import re
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
 from apoyo import FuenteMemoria, filas, plan
+from pyspark.sql import functions as F
 
 from vitrina.params import Ventana, VentanaAnual
 from vitrina.plans import catalogos, reportes
@@ -13,7 +15,9 @@ from vitrina.plans.contexto import Contexto
 from vitrina.schemas import ESQUEMAS, HECHOS
 from vitrina.sources import FuenteEstrella, FuenteTablas, Mart, TablaDiaria
 from vitrina.sources.diaria import resumir
-from vitrina.sources.mart import en_tramos
+from vitrina.operators.hechos import MEDIDAS, movimientos_stock, movimientos_venta
+from vitrina.sources import mart as modulo_mart
+from vitrina.sources.mart import CLAVES, en_tramos, repartir
 from vitrina.sources.tablas import escribir_hechos
 
 P = Ventana(dt.date(2001, 8, 5), dt.date(2001, 9, 9), umbral=100)
@@ -170,3 +174,35 @@ def test_mart_sin_hechos(spark, tmp_path):
     mart = Mart(fuente, str(tmp_path / "mart"))
     assert mart.refrescar().escritos == []
     assert reportes.ventas_por_tienda(Contexto(mart), P).count() == 0
+
+
+# --- tasks of a refresh -------------------------------------------------------------------
+
+
+def test_reparto_de_dias():
+    hallado = [(r.fecha, r.primera, r.cuantas) for r in repartir({D2: 25, D1: 4, D3: 3, dt.date(2001, 9, 4): 6, dt.date(2001, 9, 5): 2}, 10, 9)]
+    assert hallado == [(D1, 0, 1), (D2, 1, 3), (D3, 4, 1), (dt.date(2001, 9, 4), 4, 1), (dt.date(2001, 9, 5), 5, 1)]
+    assert repartir({}, 10, 9) == []
+
+
+def test_refresco_con_una_sola_mezcla(copia):
+    """Raw rows go once to the task that sums and writes their day; no sums before, no second shuffle."""
+    mart = copia[2]
+    texto = plan(mart._sumas({D1: 10, D2: 10}))
+    mezclas = re.findall(r"Exchange (?!SinglePartition)\w+", texto)
+    assert [m for m in mezclas if "Broadcast" not in m] == ["Exchange shufflepartitionidpassthrough"]
+    assert "HashAggregate" in texto.split("Exchange shuffle")[0] and "Aggregate" not in texto.split("Exchange shuffle")[1]
+
+
+def test_dias_grandes_y_claves_repetidas(spark, tmp_path, monkeypatch):
+    """Days over several tasks, a key with most of a day's rows, null keys and values: one row a key."""
+    monkeypatch.setattr(modulo_mart, "FILAS_POR_TAREA", 8)
+    hechas = [("FL", "1", "a", D1, 2)] * 30 + [("FL", None, "a", D1, 3), (None, "1", "a", D1, 4), ("RP", "1", "a", D1, None)]
+    hechas += [("FL", str(i), "b", dia, i) for i in range(12) for dia in (D1, D2)] + [("FL", "1", "a", None, 5)]
+    fuente = FuenteMemoria(spark, dwh_ventas=[(*h, Decimal(100)) for h in hechas], dwh_stock=[h for h in hechas if h[1]])
+    mart = Mart(fuente, str(tmp_path / "mart"))
+    assert mart._calientes({D1: 80})
+    assert mart.refrescar().escritos == [D1, D2]
+    movs = movimientos_venta(fuente.tabla("dwh_ventas"), CLAVES).unionByName(movimientos_stock(fuente.tabla("dwh_stock"), CLAVES)).where("fecha is not null")
+    esperadas = movs.groupBy(*CLAVES).agg(*[F.sum(m).alias(m) for m in MEDIDAS])
+    assert filas(mart.leer().select(*esperadas.columns)) == filas(esperadas)
