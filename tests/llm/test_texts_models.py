@@ -187,6 +187,26 @@ def test_a_lower_rank_that_a_merge_creates_comes_next():
         assert np.frombuffer(merges.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_pieces_in_use_are_replayed_once(monkeypatch):
+    """A full cache drops what was not used lately; common pieces are kept."""
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 8)
+    merges, replayed = bpe.Merges(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN), []
+    common, replay = " qwzxjkv", merges._replayed
+    monkeypatch.setattr(merges, "_replayed", lambda pieces: replayed.extend(pieces) or replay(pieces))
+    texts = [common + "".join(f" xq{chr(97 + k)}{chr(97 + i)}zj" for i in range(6)) for k in range(12)]
+    ids = [merges.encode([text])[0] for text in texts]
+    assert [merges.decode(x).decode() for x in ids] == texts and replayed.count(common.encode()) == 1
+    assert len(merges.known) + len(merges.earlier) <= 16
+
+
+def test_replay_of_odd_pieces():
+    merges = bpe.Merges(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    pieces = [b"", b"the", b"", b"\0", b"qq", bytes(range(256)), b""]
+    together = merges.replay(pieces)
+    assert together == [merges.replay([piece])[0] for piece in pieces] and together[0] == together[-1] == []
+    assert [b"".join(merges.token[i] for i in ids) for ids in together] == pieces and merges.replay([]) == []
+
+
 def test_round_trip_rows(odd, empty):
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     rows = bpe.round_trip(odd, ranks, P.PATTERN).collect()

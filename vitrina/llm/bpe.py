@@ -41,11 +41,15 @@ class Merges:
         pairs = (line.split() for line in ranks.splitlines() if line)
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.token = {rank: token for token, rank in self.rank.items()}
-        self.single = [self.rank[bytes([b])] for b in range(256)]
+        self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         # White space as the tokenizer's own library has it: Unicode White_Space.
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self._joined: dict[tuple[int, int], int] = {}
+        # Pieces of the last blocks, and of those before: a full half replaces the other.
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        pairs = (self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256))
+        self.byte_pairs = np.fromiter(pairs, np.int64, 65536)
 
     def _merged(self, a: int, b: int) -> int:
         """Rank of the token that a and b form, or -1."""
@@ -58,41 +62,70 @@ class Merges:
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece."""
-        symbol: list[int] = []
-        after: list[int] = []  # the next live position of the same piece, or -1
-        starts: list[int] = []
-        whole: dict[int, int] = {}
-        for k, piece in enumerate(pieces):
-            starts.append(len(symbol))
-            if (rank := self.rank.get(piece)) is not None:
-                whole[k] = rank
-                continue
-            symbol.extend(self.single[b] for b in piece)
-            after.extend(range(starts[-1] + 1, len(symbol) + 1))
-            if piece:
-                after[-1] = -1
-        before = [-1] * len(symbol)
-        index: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-                if (rank := self._merged(symbol[i], symbol[j])) >= 0:
-                    index.setdefault(rank, []).append(i)
-        queue = sorted(index)
+        ids, ends = self._replayed(pieces)
+        return [part.tolist() for part in np.split(ids, ends[:-1])] if pieces else []
+
+    def _replayed(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and where those of each piece end."""
+        # A piece that is a token itself stands for one symbol, which nothing joins.
+        whole = [self.rank.get(piece, -1) for piece in pieces]
+        raw = b"".join([piece if rank < 0 else b"\0" for piece, rank in zip(pieces, whole, strict=True)])
+        ends = np.cumsum([len(piece) if rank < 0 else 1 for piece, rank in zip(pieces, whole, strict=True)], dtype=np.int64)
+        units = np.frombuffer(raw, np.uint8).astype(np.int64)
+        n = len(units)
+        if not n:
+            return np.zeros(0, "<u4"), ends
+        first = self.single[units]
+        known = np.array(whole)
+        first[ends[known >= 0] - 1] = known[known >= 0]
+        follows = np.arange(1, n + 1)
+        follows[ends[ends > 0] - 1] = -1
+        precedes = np.arange(-1, n - 1)
+        precedes[ends[ends < n]] = -1
+        precedes[0] = -1
+        pairs = np.where(follows[:-1] >= 0, self.byte_pairs[units[:-1] * 256 + units[1:]], -1)
+        places = np.flatnonzero(pairs >= 0)
+        places = places[np.argsort(pairs[places], kind="stable")]
+        ranks, cuts = np.unique(pairs[places], return_index=True)
+        queue: list[int] = ranks.tolist()
+        index: dict[int, list[int]] = dict(zip(queue, [x.tolist() for x in np.split(places, cuts[1:])], strict=True)) if queue else {}
+        symbol: list[int] = first.tolist()
+        after: list[int] = follows.tolist()  # the next live position of the same piece, or -1
+        before: list[int] = precedes.tolist()
+        seen, merged = self._joined.get, self._merged
         while queue:
             rank = heappop(queue)
-            places = sorted(set(index.pop(rank, ())))
+            places = index.pop(rank, [])
+            places.sort()
             for n, i in enumerate(places):
                 j = after[i]
-                if symbol[i] < 0 or j < 0 or self._merged(symbol[i], symbol[j]) != rank:
+                a = symbol[i]
+                if a < 0 or j < 0:
+                    continue
+                b = symbol[j]
+                if (found := seen((a, b))) is None:
+                    found = merged(a, b)
+                if found != rank:
                     continue
                 symbol[i], symbol[j] = rank, -1
                 after[i] = k = after[j]
+                lower = False
                 if k >= 0:
                     before[k] = i
-                lower = False
-                for left, right in ((before[i], i), (i, k)):
-                    if left >= 0 and right >= 0 and (new := self._merged(symbol[left], symbol[right])) >= 0:
+                    b = symbol[k]
+                    if (new := seen((rank, b))) is None:
+                        new = merged(rank, b)
+                    if new >= 0:
+                        if new not in index:
+                            index[new] = []
+                            heappush(queue, new)
+                        index[new].append(i)
+                        lower = new < rank
+                if (left := before[i]) >= 0:
+                    a = symbol[left]
+                    if (new := seen((a, rank))) is None:
+                        new = merged(a, rank)
+                    if new >= 0:
                         if new not in index:
                             index[new] = []
                             heappush(queue, new)
@@ -103,33 +136,33 @@ class Merges:
                         index.setdefault(rank, []).extend(rest)
                         heappush(queue, rank)
                     break
-        out = []
-        for k, i in enumerate(starts):
-            if k in whole or not pieces[k]:
-                out.append([whole[k]] if k in whole else [])
-                continue
-            ids = []
-            while i >= 0:
-                ids.append(symbol[i])
-                i = after[i]
-            out.append(ids)
-        return out
+        last = np.array(symbol)
+        live = last >= 0
+        return last[live].astype("<u4"), np.concatenate([[0], np.cumsum(live)])[ends]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         cut = [self.pieces.findall(text) for text in texts]
+        used = set().union(*cut)
+        new = used - self.known.keys()
+        if self.earlier:
+            # What is still in use moves on, so that only the rest is dropped.
+            for piece in new & self.earlier.keys():
+                self.known[piece] = self.earlier[piece]
+            new -= self.known.keys()
         known = self.known
-        new = {piece for pieces in cut for piece in pieces if piece not in known}
         long = {}
         if new:
             todo = list(new)
-            for piece, ids in zip(todo, self.replay([piece.encode() for piece in todo]), strict=True):
-                (known if len(piece) <= CACHE_CHARS else long)[piece] = np.array(ids, "<u4").tobytes()
+            ids, ends = self._replayed([piece.encode() for piece in todo])
+            flat, ends = ids.tobytes(), (ends * 4).tolist()
+            for piece, start, end in zip(todo, [0, *ends], ends):
+                (known if len(piece) <= CACHE_CHARS else long)[piece] = flat[start:end]
         if long:
             known = known | long
-        out = [b"".join([known[piece] for piece in pieces]) for pieces in cut]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        if len(self.known) > CACHE_PIECES // 2:
+            self.earlier, self.known = self.known, {}
         return out
 
     def decode(self, ids: bytes) -> bytes:
