@@ -185,14 +185,15 @@ class _Copia:
 
     def __init__(self, ctx: Contexto):
         raiz, dada = ctx.almacen.ruta_nueva("dwh"), ctx.fuente.tabla
+        del_dia = dict(zip(HECHOS, (ctx.fuente.ventas, ctx.fuente.stock)))
         tablas = {n: escribir_hechos(dada(n), f"{raiz}/{n}") for n in HECHOS}
         self.fuente = FuenteTablas(ctx.spark, lambda n: tablas[n].leer() if n in HECHOS else dada(n), tablas.__getitem__)
         self.mart = Mart(self.fuente, ctx.almacen.ruta_nueva("mart"))
         self.mart.refrescar()
         for nombre, tabla in tablas.items():
             dobles = F.when(F.col("ini_cliente") == "FL", F.col("cant") * 2).otherwise(F.col("cant"))
-            tabla.reescribir(dada(nombre).where(F.col("fecha") == CAMBIADO).withColumn("cant", dobles))
-            tabla.agregar(dada(nombre).where((F.col("fecha") == NUEVO) & (F.col("ini_cliente") == "RP")))
+            tabla.reescribir(del_dia[nombre](None, [(CAMBIADO, CAMBIADO)]).withColumn("cant", dobles))
+            tabla.agregar(del_dia[nombre]("RP", [(NUEVO, NUEVO)]))
             tabla.quitar([QUITADO])
         self.mart.refrescar()
 

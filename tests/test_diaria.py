@@ -206,3 +206,31 @@ def test_dias_grandes_y_claves_repetidas(spark, tmp_path, monkeypatch):
     movs = movimientos_venta(fuente.tabla("dwh_ventas"), CLAVES).unionByName(movimientos_stock(fuente.tabla("dwh_stock"), CLAVES)).where("fecha is not null")
     esperadas = movs.groupBy(*CLAVES).agg(*[F.sum(m).alias(m) for m in MEDIDAS])
     assert filas(mart.leer().select(*esperadas.columns)) == filas(esperadas)
+
+
+def test_cambios_leen_solo_sus_dias(spark):
+    """The changed copy reads each fact whole once; its changes ask the source for their days."""
+    import __spark_entry__ as entrada
+
+    class Contada(FuenteMemoria):
+        enteras, pedidas = [], []
+
+        def tabla(self, nombre):
+            self.enteras.append(nombre)
+            return super().tabla(nombre)
+
+        def _hechos(self, nombre, cliente, rangos):
+            self.pedidas.append((nombre, cliente, rangos))
+            df = super().tabla(nombre).where(F.col("fecha").between(*rangos[0]))
+            return df if cliente is None else df.where(F.col("ini_cliente") == cliente)
+
+    hechas = [(c, "1", "a", d, 2) for c in ("FL", "RP") for d in (entrada.CAMBIADO, entrada.QUITADO, entrada.NUEVO)]
+    fuente = Contada(spark, dwh_ventas=[(*h, Decimal(100)) for h in hechas], dwh_stock=hechas)
+    copia = entrada._Copia(Contexto(fuente))
+    assert sorted(fuente.enteras) == sorted(HECHOS)
+    dias = [(entrada.CAMBIADO,) * 2], [(entrada.NUEVO,) * 2]
+    assert fuente.pedidas == [(n, c, r) for n in HECHOS for c, r in zip((None, "RP"), dias)]
+    hallado = {(f.ini_cliente, f.fecha): (f.cant_venta, f.n_stock) for f in copia.mart.leer().collect()}
+    assert hallado == {
+        ("FL", entrada.CAMBIADO): (4, 1), ("RP", entrada.CAMBIADO): (2, 1), ("FL", entrada.NUEVO): (2, 1), ("RP", entrada.NUEVO): (4, 2),
+    }
