@@ -199,6 +199,23 @@ def test_pieces_in_use_are_replayed_once(monkeypatch):
     assert len(merges.known) + len(merges.earlier) <= 16
 
 
+def test_short_pieces_are_replayed_together(monkeypatch):
+    """In waves over all of them, without a queue for each merge; long ones by the index; both alike."""
+    raw = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    merges, indexed, random_ = bpe.Merges(raw, P.PATTERN), [], random.Random(5)
+    monkeypatch.setattr(bpe, "heappop", lambda queue, pop=bpe.heappop: indexed.append(1) or pop(queue))
+    short = ["".join(random_.choices("etaoinshrdlé", k=random_.randint(1, 30))).encode() for _ in range(3000)] + [b"a" * 60, b"-" * 64, b""]
+    together = merges.replay(short)
+    assert not indexed
+    long = [b"".join(short[i : i + 9]) for i in range(0, 200, 9)] + [b"a" * 65]
+    mixed = merges.replay([*short[:500], *long, *short[500:]])
+    assert indexed and mixed[:500] + mixed[500 + len(long) :] == together
+    monkeypatch.setattr(bpe, "WAVE_BYTES", 1)
+    assert merges.replay(short) == together
+    monkeypatch.setattr(bpe, "WAVE_BYTES", 1000)
+    assert merges.replay(long) == mixed[500 : 500 + len(long)]
+
+
 def test_replay_of_odd_pieces():
     merges = bpe.Merges(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     pieces = [b"", b"the", b"", b"\0", b"qq", bytes(range(256)), b""]

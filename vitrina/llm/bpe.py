@@ -1,9 +1,13 @@
 """Operator 8: byte-level BPE encoding and decoding by corpus-level merge replay.
 
 Each Arrow task cuts its texts into pieces, takes the pieces that it has not
-seen and encodes them together: an index from the rank of a token pair to its
-positions is replayed in rank order, lowest rank first and leftmost first, and
-a merge only touches its two neighbours. Pieces are then looked up.
+seen and encodes them together. The merges of all pieces are replayed in waves:
+the ranks of all pairs lie beside their positions in one array, each wave
+merges the leftmost of the lowest rank of every piece at once, and only the two
+pairs around a merge are looked up again. In long pieces, where that would take
+a wave for each merge, an index from the rank of a pair to its positions is
+replayed instead, lowest rank first and leftmost first. Pieces are then looked
+up.
 
 Null texts are empty; an empty text has no ids. Text of any length works: cost
 grows with n log n of the longest piece. Repeated rows are encoded each.
@@ -26,6 +30,10 @@ from vitrina.llm.texts import blocks
 
 #: Pieces kept per task, and the longest of them in characters; others are encoded again.
 CACHE_PIECES, CACHE_CHARS = 300_000, 48
+#: Bytes of the longest piece that is replayed in waves.
+WAVE_BYTES = 64
+#: Stands for the rank of a pair that nothing joins.
+_NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> bytes:
@@ -50,6 +58,16 @@ class Merges:
         self.earlier: dict[str, bytes] = {}
         pairs = (self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256))
         self.byte_pairs = np.fromiter(pairs, np.int64, 65536)
+        # Every pair of tokens that forms a token, by both ranks.
+        rank = self.rank.get
+        joins = [
+            (a << 32 | b, whole)
+            for token, whole in self.rank.items()
+            for k in range(1, len(token))
+            if (a := rank(token[:k])) is not None and (b := rank(token[k:])) is not None
+        ]
+        table = np.array(joins or [(-1, _NEVER)], np.int64)
+        self.pair_keys, self.pair_ranks = table[np.argsort(table[:, 0])].T.copy()
 
     def _merged(self, a: int, b: int) -> int:
         """Rank of the token that a and b form, or -1."""
@@ -60,6 +78,45 @@ class Merges:
             found = self._joined[a, b] = self.rank.get(self.token[a] + self.token[b], -1)
         return found
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair forms, or _NEVER."""
+        keys = a << 32 | b
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NEVER)
+
+    def _waves(self, symbol: np.ndarray, at: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> None:
+        """Replays, within symbol, the pieces whose positions stand one after the
+        other in `at`; pairs has the rank of each with the next. What a merge
+        takes away becomes -1."""
+        now = symbol[at]
+        while len(lengths):
+            low = np.minimum.reduceat(pairs, np.cumsum(lengths) - lengths)
+            goes_on = low < _NEVER
+            if not goes_on.all():
+                left = np.repeat(goes_on, lengths)
+                at, now, pairs, lengths, low = at[left], now[left], pairs[left], lengths[goes_on], low[goes_on]
+                if not len(lengths):
+                    return
+            count = np.arange(len(lengths))
+            lowest = np.flatnonzero(pairs == np.repeat(low, lengths))
+            owner = np.repeat(count, lengths)[lowest]
+            first = lowest[np.flatnonzero(np.diff(owner, prepend=-1))]  # one in each piece
+            now[first] = symbol[at[first]] = low
+            symbol[at[first + 1]] = -1
+            stays = np.ones(len(at), bool)
+            stays[first + 1] = False
+            at, now, pairs, lengths = at[stays], now[stays], pairs[stays], lengths - 1
+            first -= count
+            stops = np.cumsum(lengths)
+            pairs[first] = _NEVER
+            follows = first < stops - 1
+            i = first[follows]
+            pairs[i] = self._ranks(now[i], now[i + 1])
+            precedes = first > stops - lengths
+            i = first[precedes]
+            pairs[i - 1] = self._ranks(now[i - 1], now[i])
+
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece."""
         ids, ends = self._replayed(pieces)
@@ -83,7 +140,19 @@ class Merges:
         precedes = np.arange(-1, n - 1)
         precedes[ends[ends < n]] = -1
         precedes[0] = -1
-        pairs = np.where(follows[:-1] >= 0, self.byte_pairs[units[:-1] * 256 + units[1:]], -1)
+        pairs = np.append(np.where(follows[:-1] >= 0, self.byte_pairs[units[:-1] * 256 + units[1:]], -1), -1)
+        lengths = np.diff(ends, prepend=0)
+        waves = (lengths > 1) & (lengths <= WAVE_BYTES)
+        in_waves = np.repeat(waves, lengths)
+        at = np.flatnonzero(in_waves)
+        self._waves(first, at, lengths[waves], np.where(pairs[at] < 0, _NEVER, pairs[at]))
+        if lengths.max() > WAVE_BYTES:
+            first = self._by_index(first, follows, precedes, np.where(in_waves, -1, pairs))
+        live = first >= 0
+        return first[live].astype("<u4"), np.concatenate([[0], np.cumsum(live)])[ends]
+
+    def _by_index(self, first: np.ndarray, follows: np.ndarray, precedes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """The symbols after the replay of the pairs that have a rank, those that are gone as -1."""
         places = np.flatnonzero(pairs >= 0)
         places = places[np.argsort(pairs[places], kind="stable")]
         ranks, cuts = np.unique(pairs[places], return_index=True)
@@ -136,9 +205,7 @@ class Merges:
                         index.setdefault(rank, []).extend(rest)
                         heappush(queue, rank)
                     break
-        last = np.array(symbol)
-        live = last >= 0
-        return last[live].astype("<u4"), np.concatenate([[0], np.cumsum(live)])[ends]
+        return np.array(symbol)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
