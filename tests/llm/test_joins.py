@@ -218,6 +218,14 @@ def test_line_dedup_odd_rows(odd, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_texts_are_cut_into_lines_once(spark):
+    rows = [(1, "a\nb\n \na\n", [1, 3]), (2, "a\n\nb", None), (3, None, None), (4, "a", [0]), (5, "", None)]
+    left = lines._remaining(spark.createDataFrame(rows, "doc_id long, text string, __gone array<int>"), ["doc_id", "text"], "text")
+    expected = [(1, "a\n \n", 3, 2), (2, "a\n\nb", 2, 0), (3, None, 0, 0), (4, "", 1, 1), (5, "", 0, 0)]
+    assert sorted(map(tuple, left.collect())) == expected
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+
+
 def test_line_dedup_is_native(odd):
     plan = lines._classes(lines._lines(odd, "doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan

@@ -257,12 +257,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     joined = docs.select(*kept_columns).join(
         renamed, F.col(key).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__version")), "left"
     )
-    split = F.split(text, "\n")
+    return _remaining(joined, kept_columns, text)
+
+
+def _remaining(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns with the lines that `__gone` leaves of the text, `n_lines` and `n_removed`."""
+    # A column of its own, so that a text is cut once and not again for each line that stays.
+    cut = joined.withColumn("__split", F.split(text, "\n"))
+    split = F.col("__split")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     worded = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(_WORD))), F.lit(0))
-    return joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest).alias(c) if c == text else F.col(c) for c in kept_columns],
+    return cut.select(
+        *[F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest).alias(c) if c == text else F.col(c) for c in columns],
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(worded).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
