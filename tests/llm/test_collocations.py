@@ -5,9 +5,11 @@ import re
 from collections import Counter
 from itertools import groupby
 
+import pyarrow as pa
 import pytest
 
 from vitrina.llm import collocations
+from vitrina.llm.shared import Workspace
 
 pytestmark = pytest.mark.usefixtures("sin_codegen")
 
@@ -103,3 +105,26 @@ def test_odd_texts(spark):
 def test_no_text(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, "en", None, "x")], SCHEMA)).count() == 0
+
+
+def test_phrases_cross_the_shuffle_as_the_pools_left_them(spark, rows):
+    """No table of them in Spark on this side of it."""
+    docs = spark.createDataFrame(rows, SCHEMA).select("lang", "text")
+    plan = collocations._phrase_counts(docs, 2, lambda w: w.together(2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_texts_come_in_small_batches(spark):
+    """While a table is written, and only then."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    work = Workspace(spark, "batches", {name: "2000"})
+    docs = spark.createDataFrame([("x" * 100,)] * 400, "text string").coalesce(1)
+    found = [r.n for r in work.write(docs.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(found) == 400 and max(found) < 100
+    assert spark.conf.get(name, None) == before

@@ -19,7 +19,9 @@ texts. Longer phrases grow only where they can matter:
 Which phrases may grow is kept in a table of `SLOTS` flags by hash, the same size
 for any corpus: a chance hit costs a count, never a phrase. Counts are exact.
 Words are named by 64 bits of hash; counting adds up inside a task first, so a
-frequent phrase sends a row for each block of text.
+frequent phrase sends a row for each pool of some blocks of text. What is left
+is mostly rare phrases, so it goes to the task of its key as it is: a second
+table of them before the shuffle would take memory and save little.
 
 Null languages are `und`; null and empty texts have no words. Repeated rows
 count again. Other columns are not read.
@@ -48,7 +50,9 @@ START, STEP = 2 * TOP, 4
 SLOTS_BITS, _PAGE_BITS = 24, 12
 SLOTS = 1 << SLOTS_BITS
 #: Bytes of text cut at once, phrases that are added up together, and rows of a batch sent on.
-_TEXT, _POOL, _SENT = 1 << 19, 1 << 18, 1 << 15
+_TEXT, _POOL, _SENT = 1 << 18, 1 << 18, 1 << 15
+#: Bytes of a batch of texts on its way from Spark to a task's Python.
+_READ = 1 << 22
 
 _FREQUENT, _GROWS_RIGHT, _GROWS_LEFT, _HIGH = 1, 2, 4, 8
 
@@ -157,7 +161,7 @@ def _pooled(docs: DataFrame, rows: Callable[[_Words], pa.Table], keys: list[str]
         if pool:
             yield from summed(pool).to_batches(max_chunksize=_SENT)
 
-    return docs.mapInArrow(run, schema).groupBy(*keys).agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(run, schema).repartition(*keys).groupBy(*keys).agg(F.sum("f").alias("f"))
 
 
 def _flag_table(phrases: DataFrame) -> np.ndarray:
@@ -273,7 +277,7 @@ def _undropped(phrases: DataFrame, size: int, holders: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases."""
-    work = Workspace(docs.sparkSession, "collocations")
+    work = Workspace(docs.sparkSession, "collocations", {"spark.sql.execution.arrow.maxBytesPerBatch": str(_READ)})
     broadcast = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
 

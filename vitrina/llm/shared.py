@@ -27,15 +27,17 @@ def folder(spark: SparkSession) -> str:
 class Workspace:
     """The written tables of one run of an operator."""
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
+    def __init__(self, spark: SparkSession, name: str, settings: dict[str, str] | None = None) -> None:
+        """settings: what Spark is set to while a table is written."""
         self.spark = spark
+        self.settings = {_CLEAN: "true"} | (settings or {})
         self.root = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written as Parquet and read again; its lineage ends here. Shuffle
         files of the write are of no use afterwards, so Spark may delete them."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        with _shuffles_deleted(self.spark):
+        with _set(self.spark, self.settings):
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -52,10 +54,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
